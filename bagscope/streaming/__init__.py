@@ -1,0 +1 @@
+"""The workload is bounded batch from end to end, so there are no streaming operators."""
