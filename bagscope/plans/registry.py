@@ -378,10 +378,13 @@ def _scores(spark, sf_dir):
         F.col("doc_id").alias("repertoire_id"), "lang", (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("size"),
         F.size(F.split("text", " ")).alias("words"), F.size(F.split("text", "\n")).alias("lines"), "n_chars",
     )
+    def score(model, order, value):
+        return F.struct(F.lit(model).alias("model"), F.lit(order).alias("model_order"), F.round(value, 6).alias("score"))
+
     scores = F.array(
-        F.struct(F.lit("size").alias("model"), F.lit(0).alias("model_order"), F.round("size", 6).alias("score")),
-        F.struct(F.lit("words"), F.lit(1), F.round(F.col("words") * 4 / F.greatest("n_chars", F.lit(1)), 6)),
-        F.struct(F.lit("lines"), F.lit(2), F.round(F.lit(1.0) / F.col("lines"), 6)),
+        score("size", 0, F.col("size")),
+        score("words", 1, F.col("words") * 4 / F.greatest("n_chars", F.lit(1))),
+        score("lines", 2, F.lit(1.0) / F.col("lines")),
     )
     labelled = documents.join(tables.labels(spark, sf_dir), "repertoire_id")
     return labelled.select("repertoire_id", "lang", "label", F.inline(scores))
