@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bagscope.session import materialize
+
 BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 SALTS = 64
@@ -72,3 +74,21 @@ def lookup_join(
         condition = condition & (F.col("__salt") == F.col("__salt_r"))
     joined = left.join(right, condition, how)
     return joined.drop(*right_keys, "__salt", "__salt_r")
+
+
+def hot_split_join(rows: DataFrame, table: DataFrame, key: str, hot_share: float = 1e-4) -> DataFrame:
+    """Inner join of many ``rows`` to a large keyed ``table`` when some keys may dominate ``rows``.
+
+    Keys with more than ``hot_share`` of the rows (so at most ``1 / hot_share`` keys) take their table rows
+    by broadcast and are never shuffled; all others join by an ordinary shuffle.
+    """
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    hot = materialize(counted.where(F.col("__n") > max(total * hot_share, 1000.0)).select(key))
+    if hot.isEmpty():
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    cold_rows = rows.join(hot, key, "left_anti")
+    hot_rows = rows.join(hot, key, "left_semi")
+    hot_table = table.join(hot, key, "left_semi")
+    return cold_rows.join(table, key).unionByName(lookup_join(hot_rows, hot_table, [key]))
