@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from bagscope.functions.text import truncate_for_encoder
 from bagscope.operators.joins import hot_split_join
 from bagscope.session import materialize
 
+# workers get the functions below by value and need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ID = "repertoire_id"
 BATCH_SIZE = 128  # fixed value: sequences per inference call
 

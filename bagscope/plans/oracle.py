@@ -326,3 +326,16 @@ UNION ALL SELECT 'train_dataset_1_seq_top_' || (idx + 1), 'train_dataset_1', -99
     + ", ".join(f"'{t}'" for t in NULL_TOKENS)
     + ")) AS n_null FROM seqs GROUP BY v_call",
 }
+
+# --- sources and sinks --------------------------------------------------------------------------
+
+SQL |= {
+    "tsv_roundtrip": """SELECT 'train_dataset_' || (c_nationkey % 2) AS dataset, p_brand AS junction_aa,
+  CASE WHEN length(p_type) % 5 <> 0 THEN p_type END AS v_call, p_size::VARCHAR AS j_call, count(*) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
+    "feature_store_roundtrip": f"WITH {_kmers(3)} SELECT lang AS dataset, count(*) AS n_rows, "
+    "sum(cnt)::BIGINT AS n_kmers FROM counts JOIN documents ON doc_id = repertoire_id GROUP BY lang",
+    "submission_roundtrip": SQL["union_submission"],
+    "clone_model_nothing_kept": "SELECT c_custkey AS repertoire_id, 0.5::DOUBLE AS score FROM customer",
+}

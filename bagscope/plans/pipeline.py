@@ -264,3 +264,28 @@ def evaluate_clone_model(presence: DataFrame, labels: DataFrame, gate: cl.Gate =
     report = classification_report(scored).withColumn("auc", roc_auc(scored).scalar())
     return report.withColumn("n_clones", F.lit(model.width)).withColumn("n_active", F.lit(active))
 
+
+
+def blend_benchmark(
+    counts: DataFrame, embedding_vectors: DataFrame, folds: DataFrame, config: PipelineConfig, overrides: dict | None = None
+) -> DataFrame:
+    """AUC per fold of the embedding model, the k-mer model and their fixed blend: (fold, model, auc).
+
+    The k-mer vocabulary is pruned and selected anew on the training part of every fold.
+    """
+    from bagscope.operators.metrics import roc_auc
+
+    name = config.embedding_models[0]
+    estimator = classifier(name, C=config.c_grid[0], **(overrides or {}).get(name, {}))
+    by_embedding = materialize(tr.out_of_fold(folds.join(embedding_vectors, ID), estimator.fit))
+    by_kmer = None
+    for fold in range(config.n_folds):
+        train = folds.where(F.col("fold") != fold)
+        features = fit_kmer_features(counts, train, config)
+        model = scaled_logistic(config.c_grid[0], config.balanced).fit(materialize(features.vectors(counts, train)))
+        held = score_with(model, features.vectors(counts, folds.where(F.col("fold") == fold)))
+        by_kmer = held if by_kmer is None else by_kmer.unionByName(held)
+    stacked = tr.stack({"embedding": by_embedding, "kmer": by_kmer.select(ID, "label", "fold", "score")})
+    blended = en.blend(stacked, dict(zip(("embedding", "kmer"), config.blend)), "blend")
+    entries = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("embedding", "kmer", "blend")])
+    return roc_auc(materialize(blended.select("label", "fold", F.inline(entries))), by=["fold", "model"])

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagscope.functions import text as tx
+from bagscope.models import encoder, zoo
+from bagscope.models import training as tr
+from bagscope.models import vectors as vc
+from bagscope.models.clone_model import fit_clone_model
 from bagscope.operators import clones as cl
 from bagscope.operators import datasets as ds
 from bagscope.operators import ensemble as en
@@ -16,9 +23,12 @@ from bagscope.operators import importance as im
 from bagscope.operators import kmers as km
 from bagscope.operators import metrics as me
 from bagscope.operators import pooling as po
+from bagscope.plans import pipeline as pl
 from bagscope.plans import tables
-from bagscope.session import materialize
+from bagscope.plans.config import CONFIGS, STANDARD
+from bagscope.session import materialize, shared_folder
 from bagscope.sources import repertoires as rp
+from bagscope.sources import store as sk
 
 CLONE = tx.CLONE_COLUMNS
 
@@ -549,3 +559,203 @@ def null_tokens(spark, sf_dir):
     return tables.sequences(spark, sf_dir).groupBy("v_call").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(read.isNull()).alias("n_null")
     )
+
+
+# --- sources and sinks: the tables written as files and read back ------------------------------
+
+
+def _scratch(spark, name):
+    return f"{shared_folder(spark)}/bagscope-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def tsv_roundtrip(spark, sf_dir):
+    """Parts bought per nation as repertoire files in two column orders, read back and counted."""
+    customers = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repertoire_id"), "c_nationkey")
+    rows = tables.customer_parts(spark, sf_dir).join(customers, "repertoire_id")
+    rows = rows.withColumn("v_call", F.when(F.length("v_call") % 5 != 0, F.col("v_call")))
+    root = _scratch(spark, "tsv")
+    for parity, columns in enumerate(([*CLONE], ["v_call", "extra", "j_call", "junction_aa"])):
+        part = rows.where(F.col("c_nationkey") % 2 == parity).withColumn("extra", F.lit("x"))
+        sk.save_tsv(part.select(*columns), f"{root}/train_dataset_{parity}")
+    read = rp.read_sequences(spark, [f"{root}/train_dataset_{i}" for i in (0, 1)], pattern="*.csv")
+    return read.groupBy("dataset", *CLONE).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def feature_store_roundtrip(spark, sf_dir):
+    """3-mer counts kept per language: the second request computes only what the first left out."""
+    store = sk.FeatureStore(spark, _scratch(spark, "store"))
+    sequences = tables.sequences(spark, sf_dir)
+
+    def build(datasets):
+        held = sequences.where(F.col("v_call").isin(datasets))
+        language = held.select("repertoire_id", F.col("v_call").alias("dataset")).distinct()
+        return km.kmer_counts(held, [3]).join(language, "repertoire_id")
+
+    store.ensure("kmers", ["de", "en"], build)
+    kept = store.ensure("kmers", ["de", "en", "es", "fr"], build)
+    return kept.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("cnt").alias("n_kmers"))
+
+
+@query
+def submission_roundtrip(spark, sf_dir):
+    """Predictions and selected clones through the submission file."""
+    predictions = [_predictions(spark, sf_dir, m, f"test_dataset_{m}") for m in ("size", "words")]
+    kept = materialize(cl.index_clones(cl.kept_clones(_clone_stats(spark, sf_dir))))
+    sequences = im.as_result_rows(kept.withColumn("rank", F.col("idx") + 1), "train_dataset_1")
+    path = _scratch(spark, "submission")
+    sk.save_submission(predictions, [sequences], path)
+    schema = ", ".join(f"{c} {'double' if c == 'label_positive_probability' else 'string'}" for c in tx.RESULT_COLUMNS)
+    return spark.read.options(header="true", quote='"', escape='"').schema(schema).csv(path)
+
+
+# --- models (no SQL equivalent) -----------------------------------------------------------------
+
+
+def _kmer_vectors(spark, sf_dir, config=STANDARD):
+    """Stored fold vectors of the labelled documents and the features behind them."""
+    counts = materialize(km.kmer_counts(tables.sequences(spark, sf_dir), config.k_list))
+    folds = materialize(fo.stratified_folds(tables.labels(spark, sf_dir)))
+    features = pl.fit_kmer_features(counts, folds, config)
+    return materialize(features.vectors(counts, folds)), features
+
+
+@query
+def l1_kmer_model(spark, sf_dir):
+    """Active coefficients of the scaled, balanced L1 model over the pruned k-mers."""
+    vectors, features = _kmer_vectors(spark, sf_dir)
+    fitted = pl.FittedPipeline(STANDARD, ["kmer"], {}, kmer=features, kmer_model=zoo.scaled_logistic(0.1).fit(vectors))
+    return fitted.kmer_coefficients().where("coef <> 0").select("kmer", "coef", "scale")
+
+
+@query
+def baseline_classifier(spark, sf_dir):
+    """Hold-out report of the L2 baseline over all k-mers."""
+    vectors, _ = _kmer_vectors(spark, sf_dir)
+    split = fo.holdout_split(tables.labels(spark, sf_dir))
+    return tr.holdout_report(vectors.drop("fold"), split, zoo.scaled("LogReg_L2"))
+
+
+@query
+def kmer_c_grid(spark, sf_dir):
+    """Mean AUC over five folds for two regularisation strengths."""
+    vectors, _ = _kmer_vectors(spark, sf_dir)
+    return tr.search_c(vectors, [0.1, 0.05])[1]
+
+
+@query
+def clone_model_scores(spark, sf_dir):
+    """Clone-model scores of all documents, fitted on the labelled ones."""
+    presence = materialize(cl.clone_presence(tables.sequences(spark, sf_dir)))
+    model = fit_clone_model(presence, tables.labels(spark, sf_dir))
+    return model.score(presence, _document_ids(spark, sf_dir).select("repertoire_id"))
+
+
+@query
+def clone_model_nothing_kept(spark, sf_dir):
+    """No part kind passes the strict gate among customers, so everyone scores one half."""
+    presence = materialize(cl.clone_presence(tables.customer_parts(spark, sf_dir)))
+    labels = tables.customer_labels(spark, sf_dir)
+    return fit_clone_model(presence, labels, cl.Gate(3, 0, 1e-6)).score(presence, labels.select("repertoire_id"))
+
+
+@query
+def clone_holdout(spark, sf_dir):
+    """Hold-out report of the clone model."""
+    presence = materialize(cl.clone_presence(tables.sequences(spark, sf_dir)))
+    return pl.evaluate_clone_model(presence, tables.labels(spark, sf_dir))
+
+
+@query
+def stacked_oof(spark, sf_dir):
+    """Stacked k-mer and clone models: meta-learner weights, AUCs and the weights finally used."""
+    config = replace(STANDARD, families=("kmer", "clone"), c_grid=(0.1,))
+    fitted = pl.fit(materialize(tables.sequences(spark, sf_dir)), tables.labels(spark, sf_dir), config)
+    return fitted.report["weights"]
+
+
+@query
+def encoded_bags(spark, sf_dir):
+    """Every document's tokens embedded (each distinct token once) and pooled."""
+    vectors = encoder.embed_sequences(tables.sequences(spark, sf_dir))
+    pooled = po.pool_bags(vectors.select("repertoire_id", F.col("max").alias("vector")), ["mean_std"])
+    return po.long_vector(pooled, "mean_std")
+
+
+def _labelled_vectors(spark, sf_dir):
+    """Single embeddings with a binary label and a fold, for the vector models."""
+    rows = tables.vectors(spark, sf_dir).select(
+        F.col("seq_no").alias("repertoire_id"), (F.col("repertoire_id") >= 5).cast("int").alias("label"), "vector"
+    )
+    vectors = vc.dense_vectors(rows, "vector")
+    folds = fo.stratified_folds(rows.select("repertoire_id", "label"))
+    return materialize(vectors.join(folds.select("repertoire_id", "fold"), "repertoire_id"))
+
+
+# Sizes for a quick pass over all classifiers; the library's defaults are larger.
+QUICK = {
+    "RandomForest_shallow": dict(numTrees=20), "ExtraTrees_shallow": dict(numTrees=20),
+    "GradientBoosting": dict(maxIter=10), "AdaBoost": dict(rounds=5),
+    "SVM_Linear": dict(parts=2, maxIter=10), "SVM_RBF": dict(parts=2, maxIter=10, numFeatures=200),
+}
+
+
+@query
+def classifier_zoo(spark, sf_dir):
+    """Hold-out AUC of every classifier on the embeddings."""
+    vectors = _labelled_vectors(spark, sf_dir)
+    out = None
+    for name in [n for n in zoo.NAMES if n != "SVC_rbf"]:
+        model = zoo.scaled(name, **QUICK.get(name, {})).fit(vectors.where("fold <> 0"))
+        scored = vc.score_with(model, vectors.where("fold = 0")).select(F.lit(name).alias("model"), "label", "score")
+        out = scored if out is None else out.unionByName(scored)
+    return me.roc_auc(materialize(out), by=["model"])
+
+
+@query
+def embedding_grid(spark, sf_dir):
+    """Cross-validated AUC of two classifiers on two halves of the embedding."""
+    vectors = _labelled_vectors(spark, sf_dir)
+    halves = {
+        f"half_{i}": materialize(VectorSlicer(inputCol="features", outputCol="half", indices=list(range(32 * i, 32 * i + 32)))
+        .transform(vectors).drop("features").withColumnRenamed("half", "features"))
+        for i in (0, 1)
+    }
+    return tr.search_embeddings(halves, ["LogReg_L2", "GaussianNB"])
+
+
+@query
+def nested_search(spark, sf_dir):
+    """Outer-fold AUC with the regularisation searched on inner folds."""
+    vectors = _labelled_vectors(spark, sf_dir)
+    inner = fo.stratified_folds(vectors.select("repertoire_id", "label"), 3, seed=7)
+    nested = materialize(vectors.join(inner.select("repertoire_id", F.col("fold").alias("inner_fold")), "repertoire_id"))
+    return tr.nested_search(nested, [1.0, 0.1])
+
+
+@query
+def blend_benchmark(spark, sf_dir):
+    """AUC per fold of the kernel model, the k-mer model and their 0.8 / 0.2 blend."""
+    config = replace(CONFIGS["8"], n_folds=3)
+    sequences = materialize(tables.sequences(spark, sf_dir))
+    labels = materialize(tables.labels(spark, sf_dir))
+    counts = materialize(km.kmer_counts(sequences, config.k_list))
+    vectors = pl.embedding_variants(encoder.embed_sequences(sequences), ("max_std",))["max_std"]
+    folds = materialize(fo.stratified_folds(labels, 3))
+    quick = {"SVM_RBF": dict(parts=2, maxIter=10, numFeatures=200)}
+    return pl.blend_benchmark(counts, materialize(vectors), folds, config, quick)
+
+
+@query
+def pipeline_predictions(spark, sf_dir):
+    """Predictions and important sequences of a k-mer pipeline, saved, loaded and put in result form."""
+    config = replace(CONFIGS["4"], c_grid=(0.1,), top_k=1000)
+    sequences = materialize(tables.sequences(spark, sf_dir))
+    labels = tables.labels(spark, sf_dir)
+    path = _scratch(spark, "model")
+    pl.fit(sequences, labels, config).save(path)
+    fitted = pl.FittedPipeline.load(spark, path, config)
+    test = _document_ids(spark, sf_dir).join(labels, "repertoire_id", "left_anti")
+    predictions = fitted.predict(sequences, test)
+    return im.fill_sentinels(im.union_results([predictions], [fitted.important_sequences(sequences, "train_dataset_4")]))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from bagscope.functions.text import CLONE_COLUMNS, null_tokens_to_null, repertoire_id_from_name
 from bagscope.operators.joins import lookup_join
+from bagscope.session import materialize
 
 ID = "repertoire_id"
 _CSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
@@ -28,13 +29,13 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def file_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def file_headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.tsv") -> DataFrame:
     """(path, dataset, repertoire_id, header) of every file that starts with a usable header line.
 
     One scan keeps only lines at the start of a file that name all clone columns. Header-only files
     appear here, so an empty repertoire is not lost.
     """
-    lines = spark.read.text(list(paths), pathGlobFilter="*.tsv").where(F.col("_metadata.file_block_start") == 0)
+    lines = spark.read.text(list(paths), pathGlobFilter=pattern).where(F.col("_metadata.file_block_start") == 0)
     fields = F.split("value", "\t")
     has_all = F.lit(True)
     for column in CLONE_COLUMNS:
@@ -47,15 +48,17 @@ def file_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def _read_group(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
+def _read_group(spark: SparkSession, paths: list[str], header: str, pattern: str) -> DataFrame:
     """Files that share one header, read with a schema in that header's order."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split("\t")])
-    rows = spark.read.options(**_CSV).schema(schema).csv(paths, pathGlobFilter="*.tsv")
+    rows = spark.read.options(**_CSV).schema(schema).csv(paths, pathGlobFilter=pattern)
     return rows.select(*_file_columns(), *[null_tokens_to_null(F.col(c)).alias(c) for c in CLONE_COLUMNS])
 
 
-def read_sequences(spark: SparkSession, directories: str | Sequence[str], header: str | None = None) -> DataFrame:
-    """(dataset, repertoire_id, junction_aa, v_call, j_call) of every ``*.tsv`` in the directories.
+def read_sequences(
+    spark: SparkSession, directories: str | Sequence[str], header: str | None = None, pattern: str = "*.tsv"
+) -> DataFrame:
+    """(dataset, repertoire_id, junction_aa, v_call, j_call) of every file of the directories that matches ``pattern``.
 
     Files may order their columns differently and carry extra ones. A multi-file CSV read matches columns
     by position, so files are first grouped by header and each group is read with its own schema. When all
@@ -65,9 +68,9 @@ def read_sequences(spark: SparkSession, directories: str | Sequence[str], header
     dirs = [directories] if isinstance(directories, str) else list(directories)
     if header is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split("\t")])
-        rows = spark.read.options(**_CSV, enforceSchema="false").schema(schema).csv(dirs, pathGlobFilter="*.tsv")
+        rows = spark.read.options(**_CSV, enforceSchema="false").schema(schema).csv(dirs, pathGlobFilter=pattern)
         return rows.select(*_file_columns(), *[null_tokens_to_null(F.col(c)).alias(c) for c in CLONE_COLUMNS])
-    headers = file_headers(spark, dirs)
+    headers = materialize(file_headers(spark, dirs, pattern))
     layouts = [row["header"] for row in headers.select("header").distinct().toLocalIterator()]
     if not layouts:
         raise InvalidInput(f"no .tsv file with the columns {', '.join(CLONE_COLUMNS)} in {dirs}")
@@ -78,7 +81,7 @@ def read_sequences(spark: SparkSession, directories: str | Sequence[str], header
         paths = dirs
         if len(layouts) > 1:
             paths = [r["path"] for r in headers.where(F.col("header") == layout).select("path").toLocalIterator()]
-        part = _read_group(spark, paths, layout)
+        part = _read_group(spark, paths, layout, pattern)
         out = part if out is None else out.unionByName(part)
     return out
 
