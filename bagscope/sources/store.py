@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bagscope.functions.text import RESULT_COLUMNS
 from bagscope.operators.importance import fill_sentinels, union_results
@@ -22,10 +23,16 @@ class FeatureStore:
     def path(self, feature_set: str) -> str:
         return f"{self.folder}/{feature_set}"
 
+    def _table(self, feature_set: str) -> DataFrame:
+        """The stored table, with dataset names as text even where they look like numbers."""
+        found = self.spark.read.parquet(self.path(feature_set)).schema
+        fields = [T.StructField(f.name, T.StringType()) if f.name == "dataset" else f for f in found.fields]
+        return self.spark.read.schema(T.StructType(fields)).parquet(self.path(feature_set))
+
     def datasets(self, feature_set: str) -> set[str]:
         """Datasets already present in a feature set (partition names only; no rows are read)."""
         try:
-            table = self.spark.read.parquet(self.path(feature_set))
+            table = self._table(feature_set)
         except AnalysisException:
             return set()
         return {row["dataset"] for row in table.select("dataset").distinct().toLocalIterator()}
@@ -38,7 +45,7 @@ class FeatureStore:
         return self.read(feature_set)
 
     def read(self, feature_set: str, datasets: Sequence[str] | None = None) -> DataFrame:
-        table = self.spark.read.parquet(self.path(feature_set)).withColumn("dataset", F.col("dataset").cast("string"))
+        table = self._table(feature_set)
         return table if datasets is None else table.where(F.col("dataset").isin(list(datasets)))
 
     def ensure(self, feature_set: str, datasets: Sequence[str], build: Callable[[list[str]], DataFrame]) -> DataFrame:

@@ -1,0 +1,151 @@
+import numpy as np
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from bagscope.models import training as tr
+from bagscope.models import vectors as vc
+from bagscope.models.boosting import StumpBoost
+from bagscope.models.encoder import embed_distinct, embed_sequences, hashed_residue_encoder
+from bagscope.models.estimators import FourierFeatures, InverseLogistic, PopulationScaler, population_moments
+from bagscope.models.zoo import NAMES, classifier, scaled
+from bagscope.operators import metrics as me
+from bagscope.session import materialize
+
+
+def make_data(n=80, d=6, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * np.arange(1, d + 1)
+    x[:, -1] = 1.0  # a constant feature
+    y = (x[:, 0] - x[:, 1] / 2 + rng.normal(size=n) > 0.3).astype(int)
+    return x, y
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    x, y = make_data()
+    rows = [(f"r{i:03d}", int(t), i % 4, Vectors.dense(v)) for i, (v, t) in enumerate(zip(x, y))]
+    return x, y, materialize(spark.createDataFrame(rows, ["repertoire_id", "label", "fold", "features"]).repartition(3))
+
+
+def test_moments_and_scaler(data):
+    x, _, df = data
+    mean, variance = population_moments(df, "features")
+    assert np.allclose(mean, x.mean(0)) and np.allclose(variance, x.var(0), atol=1e-12)
+    scaled_rows = PopulationScaler().fit(df).transform(df).orderBy("repertoire_id").select(vector_to_array("scaled")).collect()
+    std = np.where(x.std(0) > 1e-12, x.std(0), 1.0)
+    assert np.allclose([r[0] for r in scaled_rows], x / std)
+
+
+def prox_gradient(x, y, weights, c, l1_ratio, steps=20000):
+    """Minimise sum(w * logloss) * C + l1_ratio |b|_1 + (1 - l1_ratio) |b|^2 / 2 with a free intercept."""
+    b, b0 = np.zeros(x.shape[1]), 0.0
+    step = 1 / (c * weights.max() * 0.25 * (np.linalg.norm(np.c_[x, np.ones(len(x))], 2) ** 2) + 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(x @ b + b0)))
+        g = c * weights * (p - y)
+        b = b - step * (x.T @ g + (1 - l1_ratio) * b)
+        b = np.sign(b) * np.maximum(abs(b) - step * l1_ratio, 0)
+        b0 -= step * g.sum()
+    return b, b0
+
+
+@pytest.mark.parametrize("c,l1_ratio,balanced", [(0.2, 1.0, True), (1.0, 0.0, False), (0.5, 0.5, False)])
+def test_logistic_matches_numpy(data, c, l1_ratio, balanced):
+    x, y, df = data
+    model = InverseLogistic(C=c, l1Ratio=l1_ratio, balanced=balanced, maxIter=1000).fit(df)
+    n = len(y)
+    weights = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum()))) if balanced else np.ones(n)
+    b, b0 = prox_gradient(x[:, :-1], y, weights, c, l1_ratio)
+    got = model.coefficients.toArray()
+    assert np.allclose(got[:-1], b, atol=5e-3)
+    p_ours = 1 / (1 + np.exp(-(x @ got + model.intercept)))
+    assert np.allclose(p_ours, 1 / (1 + np.exp(-(x[:, :-1] @ b + b0))), atol=5e-3)
+
+
+def test_sparse_vectors_keep_empty_rows(spark):
+    ids = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1)], "repertoire_id string, label int")
+    rows = spark.createDataFrame([("a", 3, 2.0), ("a", 0, 1.0), ("c", 2, 5.0), ("other", 1, 9.0)], "repertoire_id string, idx long, value double")
+    got = {r["repertoire_id"]: r["features"] for r in vc.sparse_vectors(ids, rows, 4).collect()}
+    assert got == {"a": Vectors.sparse(4, {0: 1.0, 3: 2.0}), "b": Vectors.sparse(4, {}), "c": Vectors.sparse(4, {2: 5.0})}
+    with pytest.raises(ValueError):
+        vc.sparse_vectors(ids, rows, 10**9)
+
+
+def test_stump_boost_matches_numpy(spark, data):
+    x, y, df = data
+    model = StumpBoost(rounds=4, learningRate=0.5).fit(df)
+    got = np.array([r["score"] for r in model.transform(df).orderBy("repertoire_id").collect()])
+    w, margin, votes = np.ones(len(y)), np.zeros(len(y)), 0.0
+    for stump in model.stages[:-1]:
+        h = np.array([r[0] for r in stump.transform(df).orderBy("repertoire_id").select(stump.getPredictionCol()).collect()])
+        wrong = h != y
+        error = w[wrong].sum() / w.sum()
+        assert error < 0.5
+        vote = 0.5 * np.log((1 - error) / error)
+        margin, votes = margin + vote * (2 * h - 1), votes + vote
+        w = w * np.exp(vote * wrong)
+    assert np.allclose(got, 1 / (1 + np.exp(-2 * margin / votes)), atol=1e-9)
+
+
+def test_fourier_features_approximate_the_kernel(data):
+    x, _, df = data
+    gamma = 0.02
+    mapped = FourierFeatures(gamma=gamma, numFeatures=4000).transform(df).orderBy("repertoire_id")
+    z = np.array([r[0] for r in mapped.select(vector_to_array("fourier")).collect()])
+    kernel = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert abs(z @ z.T - kernel).mean() < 0.02
+
+
+QUICK = {
+    "RandomForest_shallow": dict(numTrees=10), "ExtraTrees_shallow": dict(numTrees=10), "GradientBoosting": dict(maxIter=5),
+    "AdaBoost": dict(rounds=3), "SVM_Linear": dict(parts=2, maxIter=10), "SVM_RBF": dict(parts=2, maxIter=10, numFeatures=100),
+}
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n != "SVC_rbf"])
+def test_every_classifier_learns(data, name, tmp_path):
+    _, _, df = data
+    model = scaled(name, **QUICK.get(name, {})).fit(df)
+    scored = vc.score_with(model, df)
+    assert me.roc_auc(scored).first()["auc"] > 0.75
+    assert scored.where("score < 0 or score > 1").count() == 0
+    if name in ("AdaBoost", "SVM_RBF"):
+        model.write().save(str(tmp_path / "m"))
+        again = vc.score_with(PipelineModel.load(str(tmp_path / "m")), df)
+        assert sorted(r["score"] for r in again.collect()) == pytest.approx(sorted(r["score"] for r in scored.collect()))
+
+
+def test_unknown_classifier():
+    with pytest.raises(ValueError):
+        classifier("Perceptron")
+
+
+def test_grid_and_out_of_fold(data):
+    x, y, df = data
+    best, table = tr.search_c(df, [1.0, 0.001])
+    rows = table.collect()
+    assert best == 1.0 and rows[0]["mean_auc"] > rows[1]["mean_auc"]
+    by_accuracy, summary = tr.search_c_by(df, [1.0, 0.001], "balanced_accuracy")
+    assert by_accuracy == 1.0 and summary.count() == 2
+    oof = tr.out_of_fold(df, scaled("LogReg_L2").fit)
+    assert oof.count() == len(y) and oof.select("repertoire_id").distinct().count() == len(y)
+    one = materialize(oof)
+    stacked = tr.stack({"a": one, "b": one.withColumn("score", F.rand(1))})
+    meta = tr.fit_meta(stacked, ["a", "b"])
+    weights = {r["model"]: r for r in tr.model_weights(stacked, meta, ["a", "b"]).collect()}
+    assert weights["a"]["weight"] > abs(weights["b"]["weight"]) and weights["a"]["auc"] > weights["b"]["auc"]
+
+
+def test_encoder_embeds_each_text_once(spark):
+    rows = [("a", "CASSF"), ("b", "CASSF"), ("b", None), ("b", "C" * 50), ("c", "C" * 45)]
+    sequences = spark.createDataFrame(rows, "repertoire_id string, junction_aa string")
+    assert embed_distinct(sequences).count() == 2  # the long ones agree within the token limit
+    got = embed_sequences(sequences).collect()
+    assert sorted((r["repertoire_id"], r["junction_aa"]) for r in got) == sorted(r for r in rows if r[1])
+    expected = hashed_residue_encoder()(np.array(["CASSF"], dtype=object))
+    row = next(r for r in got if r["junction_aa"] == "CASSF")
+    for name in ("cls", "mean", "max"):
+        assert np.allclose(row[name], expected[name][0])
