@@ -35,7 +35,7 @@ def explode_kmers(
     source = F.col(sequence_col)
     placed = with_k.select(*carried, "k", generate(start_positions(source, F.col("k"))).alias("pos"))
     kmer = F.substring(source, F.col("pos"), F.col("k")).alias("kmer")
-    return placed.select(*keep, *([sequence_col] if sequence_col not in keep else []), "k", "pos", kmer)
+    return placed.select(*carried, "k", "pos", kmer)
 
 
 def first_occurrence(sequence: Column, kmer: Column, pos: Column) -> Column:

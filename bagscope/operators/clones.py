@@ -6,6 +6,7 @@ kept, so every join on clones is null-safe.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,9 @@ class Gate:
     p_cut: float = 0.05
 
 
-def clone_presence(sequences: DataFrame) -> DataFrame:
-    """Distinct (repertoire, clone). Hashing all four columns spreads a clone that everyone has."""
-    return sequences.select(ID, *CLONE_COLUMNS).distinct()
+def clone_presence(sequences: DataFrame, by: Sequence[str] = (ID,)) -> DataFrame:
+    """Distinct (repertoire, clone). Hashing all columns spreads a clone that everyone has."""
+    return sequences.select(*by, *CLONE_COLUMNS).distinct()
 
 
 def distinct_clones(sequences: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +11,31 @@ from bagscope.functions.kmers import explode_kmers
 from bagscope.functions.text import feature_name
 from bagscope.operators.joins import lookup_join
 from bagscope.operators.ranking import ordered_index
+from bagscope.session import materialize
 
 ID = "repertoire_id"
 
 
-def kmer_counts(sequences: DataFrame, k_list: Iterable[int], sequence_col: str = "junction_aa") -> DataFrame:
+def kmer_counts(
+    sequences: DataFrame, k_list: Iterable[int], sequence_col: str = "junction_aa", by: Sequence[str] = (ID,)
+) -> DataFrame:
     """Occurrences of every k-mer per repertoire, with multiplicity within and across sequences.
 
-    Counts are combined on the map side, so what is shuffled is at most one row per task, repertoire and
-    k-mer; the shuffle key spreads both a huge repertoire and a very common k-mer.
+    ``by`` may add the dataset, so that one job covers many. Counts are combined on the map side, so what is
+    shuffled is at most one row per task, repertoire and k-mer; the shuffle key spreads both a huge
+    repertoire and a very common k-mer.
     """
-    occurrences = explode_kmers(sequences, k_list, keep=[ID], sequence_col=sequence_col)
-    return occurrences.groupBy(ID, "k", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    occurrences = explode_kmers(sequences, k_list, keep=list(by), sequence_col=sequence_col)
+    return occurrences.groupBy(*by, "k", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def total_counts(sequences: DataFrame, k_list: Iterable[int], sequence_col: str = "junction_aa") -> DataFrame:
+    """(k, kmer, cnt) over all repertoires, for when only the vocabulary is wanted.
+
+    Each task sends one row per distinct k-mer, so the shuffle is as small as the vocabulary.
+    """
+    occurrences = explode_kmers(sequences, k_list, keep=[], sequence_col=sequence_col)
+    return occurrences.groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def only_k(features: DataFrame, k: int) -> DataFrame:
@@ -30,7 +43,10 @@ def only_k(features: DataFrame, k: int) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, min_count: int = 1) -> DataFrame:
-    """k-mers whose total count over all repertoires reaches ``min_count``."""
+    """k-mers whose total count over all repertoires reaches ``min_count``.
+
+    Takes per-repertoire counts or :func:`total_counts`.
+    """
     totals = counts.groupBy("k", "kmer").agg(F.sum("cnt").alias("total"))
     return totals.where(F.col("total") >= min_count)
 
@@ -89,10 +105,13 @@ def zero_filled(ids: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def frequencies(counts: DataFrame) -> DataFrame:
-    """Count divided by the repertoire's total over the kept features (a zero total divides by one)."""
-    totals = counts.groupBy(ID).agg(F.sum("cnt").alias("row_total"))
+    """Count divided by the repertoire's total over the kept features (a zero total divides by one).
+
+    The totals, one row per repertoire, are stored and join back without moving the long rows.
+    """
+    totals = materialize(counts.groupBy(ID).agg(F.sum("cnt").alias("row_total")))
     divisor = F.when(F.col("row_total") == 0, F.lit(1)).otherwise(F.col("row_total"))
-    return counts.join(totals, ID).withColumn("freq", F.col("cnt") / divisor)
+    return lookup_join(counts, totals, [ID]).withColumn("freq", F.col("cnt") / divisor)
 
 
 def feature_variance(values: DataFrame, n_repertoires: DataFrame, value_col: str = "freq") -> DataFrame:

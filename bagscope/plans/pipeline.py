@@ -108,12 +108,24 @@ class FittedPipeline:
     def predict(
         self, sequences: DataFrame, ids: DataFrame, embeddings: DataFrame | None = None, dataset: str | None = None
     ) -> DataFrame:
-        """Result rows of all test repertoires; ``ids`` may carry ``dataset`` for several test sets at once."""
+        """Result rows of all test repertoires.
+
+        Several test sets go in at once when ``ids`` and the inputs carry ``dataset``: repertoires are then
+        told apart by dataset and id together.
+        """
+        several = "dataset" in ids.columns and "dataset" in sequences.columns
+        if several:
+            key = F.concat_ws("/", "dataset", F.col(ID).cast("string"))
+            ids = ids.withColumn("__id", F.col(ID)).withColumn(ID, key)
+            sequences = sequences.withColumn(ID, key)
+            embeddings = None if embeddings is None else embeddings.withColumn(ID, key)
         scores = self.model_scores(sequences, ids, embeddings)
         if self.config.combine == "meta":
             scores = score_with(self.meta_model, tr.meta_vectors(scores, self.models))
         else:
             scores = en.blend(scores, self.weights)
+        if several:
+            scores = scores.withColumn(ID, F.col("__id"))
         return im.as_prediction_rows(scores, dataset)
 
     def kmer_coefficients(self) -> DataFrame:

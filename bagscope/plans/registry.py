@@ -69,38 +69,38 @@ def kmer_only_k4(spark, sf_dir):
 
 @query
 def kmer_vocab_min20(spark, sf_dir):
-    return km.vocabulary(km.kmer_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
+    return km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
 
 
 @query
 def top_kmers(spark, sf_dir):
     """Flagship: the 20 most frequent k-mers that survive vocabulary pruning."""
-    vocab = km.vocabulary(km.kmer_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
+    vocab = km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
     return vocab.orderBy(F.desc("total"), F.asc("k"), F.asc("kmer")).limit(20)
 
 
 @query
 def kmer_vocab_forced(spark, sf_dir):
     ks = km.forced_k_list([3, 4], FORCED)
-    return km.vocabulary_with_forced(km.kmer_counts(tables.sequences(spark, sf_dir), ks), MIN_COUNT, FORCED)
+    return km.vocabulary_with_forced(km.total_counts(tables.sequences(spark, sf_dir), ks), MIN_COUNT, FORCED)
 
 
 @query
 def kmer_vocab_index(spark, sf_dir):
-    vocab = km.vocabulary(km.kmer_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
+    vocab = km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
     return km.index_vocabulary(vocab)
 
 
 @query
 def kmer_vocab_summary(spark, sf_dir):
-    counts = km.kmer_counts(tables.sequences(spark, sf_dir), [3, 4])
+    counts = km.total_counts(tables.sequences(spark, sf_dir), [3, 4])
     return km.vocabulary_summary(counts, MIN_COUNT).select("n_total", "n_frequent", _r("reduction_pct"))
 
 
 @query
 def kmer_feature_names(spark, sf_dir):
     """Display names of the pruned vocabulary, and k and k-mer parsed back from them."""
-    vocab = km.vocabulary(km.kmer_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
+    vocab = km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
     name = F.col("feature")
     return km.with_feature_name(vocab).select(
         "feature", tx.feature_k(name).alias("parsed_k"), tx.feature_kmer(name).alias("parsed_kmer")
@@ -483,7 +483,7 @@ def blend(spark, sf_dir):
 
 def _coefficients(spark, sf_dir):
     """A coefficient for every pruned k-mer, by rule from its total count; a third of them zero."""
-    vocab = km.vocabulary(km.kmer_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
+    vocab = km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir), [3, 4]), MIN_COUNT)
     coef = (F.col("total") % 3 - 1).cast("double") * (F.col("total") % 5 + 1) / 8
     scale = (F.col("total") % 2 + 1).cast("double")
     return materialize(vocab.select("k", "kmer", coef.alias("coef"), scale.alias("scale")))

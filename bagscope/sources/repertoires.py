@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,21 +57,24 @@ def _read_group(spark: SparkSession, paths: list[str], header: str, pattern: str
 
 
 def read_sequences(
-    spark: SparkSession, directories: str | Sequence[str], header: str | None = None, pattern: str = "*.tsv"
+    spark: SparkSession, directories: str | Sequence[str], header: str | None = None, pattern: str = "*.tsv",
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """(dataset, repertoire_id, junction_aa, v_call, j_call) of every file of the directories that matches ``pattern``.
 
     Files may order their columns differently and carry extra ones. A multi-file CSV read matches columns
     by position, so files are first grouped by header and each group is read with its own schema. When all
     files are known to share one ``header`` line, passing it saves the pass that looks at headers; Spark
-    then fails on a file that differs instead of misreading it.
+    then fails on a file that differs instead of misreading it. ``headers`` is a stored
+    :func:`file_headers` table of the directories, if there is one already.
     """
     dirs = [directories] if isinstance(directories, str) else list(directories)
     if header is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split("\t")])
         rows = spark.read.options(**_CSV, enforceSchema="false").schema(schema).csv(dirs, pathGlobFilter=pattern)
         return rows.select(*_file_columns(), *[null_tokens_to_null(F.col(c)).alias(c) for c in CLONE_COLUMNS])
-    headers = materialize(file_headers(spark, dirs, pattern))
+    if headers is None:
+        headers = materialize(file_headers(spark, dirs, pattern))
     layouts = [row["header"] for row in headers.select("header").distinct().toLocalIterator()]
     if not layouts:
         raise InvalidInput(f"no .tsv file with the columns {', '.join(CLONE_COLUMNS)} in {dirs}")
@@ -154,21 +158,35 @@ def metadata_gaps(metadata: DataFrame, present: DataFrame) -> DataFrame:
     return missing.unionByName(extra)
 
 
-def validate_inputs(spark: SparkSession, train_dir: str, test_dirs: Sequence[str]) -> DataFrame:
+def validate_inputs(
+    spark: SparkSession, train_dir: str, test_dirs: Sequence[str], headers: DataFrame | None = None
+) -> DataFrame:
     """Raise :class:`InvalidInput` when a directory has no usable file or the train set no metadata;
-    otherwise return the gaps between train metadata and train files."""
+    otherwise return the gaps between train metadata and train files.
+
+    ``headers`` is a stored :func:`file_headers` table of all the directories, if there is one already.
+    """
+    if headers is None:
+        headers = read_headers(spark, [train_dir, *test_dirs])
+    found = {row["dataset"] for row in headers.select("dataset").distinct().toLocalIterator()}
     for directory in [train_dir, *test_dirs]:
-        try:
-            empty = file_headers(spark, [directory]).isEmpty()
-        except Exception as error:  # a path that does not exist
-            raise InvalidInput(f"cannot read {directory}") from error
-        if empty:
+        if folder_name(directory) not in found:
             raise InvalidInput(f"no usable .tsv file in {directory}")
     try:
         metadata = read_metadata(spark, f"{train_dir}/metadata.csv", labelled=True)
-        metadata.isEmpty()
-    except InvalidInput:
-        raise
-    except Exception as error:
+    except AnalysisException as error:
         raise InvalidInput(f"metadata.csv not found in {train_dir}") from error
-    return metadata_gaps(metadata, file_headers(spark, [train_dir]))
+    return metadata_gaps(metadata, headers.where(F.col("dataset") == folder_name(train_dir)))
+
+
+def read_headers(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
+    """A stored :func:`file_headers` table; an error if a directory does not exist."""
+    try:
+        return materialize(file_headers(spark, directories))
+    except AnalysisException as error:
+        raise InvalidInput(f"cannot read {list(directories)}") from error
+
+
+def folder_name(directory: str) -> str:
+    """A dataset's name: the last part of its path."""
+    return directory.rstrip("/").rsplit("/", 1)[-1]
