@@ -339,3 +339,14 @@ JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
     "submission_roundtrip": SQL["union_submission"],
     "clone_model_nothing_kept": "SELECT c_custkey AS repertoire_id, 0.5::DOUBLE AS score FROM customer",
 }
+
+SQL |= {
+    "most_shared_clones": f"""WITH {SEQUENCES}, {_PRESENCE},
+shared AS (
+  SELECT {_CLONE}, count(*) AS n FROM presence
+  WHERE repertoire_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL)
+SELECT {_CLONE}, n, row_number() OVER (ORDER BY n DESC, {_CLONE}) AS rank FROM shared
+QUALIFY row_number() OVER (ORDER BY n DESC, {_CLONE}) <= 500""",
+    "requested_vectors": """SELECT label::VARCHAR AS dataset, vec_id AS repertoire_id FROM embeddings
+WHERE vec_id IN (SELECT doc_id FROM labels WHERE doc_id % 10 = label)""",
+}

@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagscope.functions.text import CLONE_COLUMNS
 from bagscope.models import training as tr
 from bagscope.models.clone_model import CloneModel, fit_clone_model
 from bagscope.models.vectors import dense_vectors, score_with, sparse_vectors
@@ -23,6 +25,7 @@ from bagscope.operators import kmers as km
 from bagscope.operators.datasets import type_from_sizes
 from bagscope.operators.joins import lookup_join
 from bagscope.operators.pooling import pool_bags
+from bagscope.operators.ranking import top_k
 from bagscope.plans.config import PipelineConfig
 from bagscope.session import materialize
 
@@ -61,6 +64,12 @@ def fit_kmer_features(counts: DataFrame, labels: DataFrame, config: PipelineConf
     return KmerFeatures(vocab, vocab.count(), config.frequencies, kept if config.frequencies else None)
 
 
+def most_shared_clones(sequences: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """The ``k`` clones held by the most positive repertoires, with their ``rank``."""
+    shared = materialize(cl.clone_frequency(cl.clone_presence(sequences), labels))
+    return top_k(shared.withColumn("n", F.col("n").cast("double")), "n", CLONE_COLUMNS, k)
+
+
 def embedding_variants(embeddings: DataFrame, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """Repertoire vectors per ``<token pooling>_<bag pooling>``, each token pooling in one pass."""
     out = {}
@@ -132,20 +141,31 @@ class FittedPipeline:
         """(k, kmer, coef, scale) of the k-mer model, from its two stages."""
         scaler, logistic = self.kmer_model.stages
         assert isinstance(scaler, ElementwiseProduct)
-        inverse = scaler.getScalingVec().toArray()
-        rows = [(i, float(c), float(1.0 / s)) for i, (c, s) in enumerate(zip(logistic.coefficients.toArray(), inverse))]
-        table = self.kmer.vocab.sparkSession.createDataFrame(rows, "idx long, coef double, scale double")
-        return materialize(self.kmer.vocab.join(table, "idx"))
-
-    def important_sequences(self, sequences: DataFrame, dataset: str, top_k: int | None = None) -> DataFrame:
-        """The sequences behind the prediction, in the result layout."""
-        top_k = top_k or self.config.top_k
+        spark = self.kmer.vocab.sparkSession
+        one = spark.createDataFrame([(logistic.coefficients, scaler.getScalingVec())], ["coef", "inverse"])
+        pairs = F.arrays_zip(vector_to_array("coef").alias("coef"), vector_to_array("inverse").alias("inverse"))
+        table = one.select(F.posexplode(pairs).alias("idx", "p")).select(
+            "idx", "p.coef", (F.lit(1.0) / F.col("p.inverse")).alias("scale")
+        )
+        return materialize(lookup_join(self.kmer.vocab, table, ["idx"]))
+
+    def important_sequences(
+        self, sequences: DataFrame, dataset: str, limit: int | None = None, labels: DataFrame | None = None
+    ) -> DataFrame:
+        """The sequences behind the prediction, in the result layout.
+
+        Where the clones themselves are the answer but none was kept, ``labels`` allows the clones held by
+        most positive repertoires instead; without it the result is empty.
+        """
+        limit = limit or self.config.top_k
         if self.config.important == "clones":
-            first = cl.first_clones(self.clone_model.selected, top_k)
+            if self.clone_model.width == 0 and labels is not None:
+                return im.as_result_rows(most_shared_clones(sequences, labels, limit), dataset)
+            first = cl.first_clones(self.clone_model.selected, limit)
             return im.as_result_rows(first.withColumn("rank", F.col("idx") + 1), dataset)
         weights = materialize(im.ensemble_weights_table(self.kmer_coefficients()))
         ks = km.forced_k_list(self.config.k_list, self.config.forced)
-        return im.top_sequences(im.score_sequences(sequences, weights, ks), dataset, top_k)
+        return im.top_sequences(im.score_sequences(sequences, weights, ks), dataset, limit)
 
     def save(self, path: str) -> None:
         spark = None

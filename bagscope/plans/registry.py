@@ -523,6 +523,25 @@ def top_sequences(spark, sf_dir):
     return im.fill_sentinels(im.top_sequences(_scored(spark, sf_dir, True), "train_dataset_1", 1000))
 
 
+@query
+def most_shared_clones(spark, sf_dir):
+    """The 500 clones held by the most positive documents: the answer when no clone is enriched."""
+    ranked = pl.most_shared_clones(tables.sequences(spark, sf_dir), tables.labels(spark, sf_dir), 500)
+    return ranked.select(*CLONE, F.col("n").cast("long").alias("n"), "rank")
+
+
+@query
+def requested_vectors(spark, sf_dir):
+    """Embeddings asked for by a list that also names vectors that do not exist."""
+    vectors = tables.vectors(spark, sf_dir).select(
+        F.col("repertoire_id").cast("string").alias("dataset"), F.col("seq_no").alias("repertoire_id")
+    )
+    requests = tables.table(spark, sf_dir, "labels").select(
+        (F.col("doc_id") % 10).cast("string").alias("dataset"), F.col("doc_id").alias("ID")
+    )
+    return ds.requested_vectors(requests, vectors)
+
+
 @query
 def union_submission(spark, sf_dir):
     """Predictions and important sequences as one result table in file form."""

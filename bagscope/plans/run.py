@@ -60,7 +60,7 @@ def analyse(
     if fitted.clone_model is not None:
         sk.save_clone_stats(fitted.clone_model.selected, f"{out_dir}/clone_stats")
 
-    important = fitted.important_sequences(sequences, train)
+    important = fitted.important_sequences(sequences, train, labels=labels)
     sk.save_important_sequences(important, f"{out_dir}/{train}_important_sequences.tsv")
     predictions = []
     if tests:

@@ -29,13 +29,13 @@ class FeatureStore:
         fields = [T.StructField(f.name, T.StringType()) if f.name == "dataset" else f for f in found.fields]
         return self.spark.read.schema(T.StructType(fields)).parquet(self.path(feature_set))
 
-    def datasets(self, feature_set: str) -> set[str]:
-        """Datasets already present in a feature set (partition names only; no rows are read)."""
+    def present(self, feature_set: str, datasets: Sequence[str]) -> set[str]:
+        """Which of the datasets a feature set already holds: one pruned look into each partition."""
         try:
             table = self._table(feature_set)
         except AnalysisException:
             return set()
-        return {row["dataset"] for row in table.select("dataset").distinct().toLocalIterator()}
+        return {name for name in datasets if not table.where(F.col("dataset") == name).isEmpty()}
 
     def write(self, feature_set: str, rows: DataFrame) -> DataFrame:
         """Write rows with a ``dataset`` column, replacing just the datasets they contain."""
@@ -50,7 +50,7 @@ class FeatureStore:
 
     def ensure(self, feature_set: str, datasets: Sequence[str], build: Callable[[list[str]], DataFrame]) -> DataFrame:
         """Features of ``datasets``, computing in one job only those that are missing."""
-        missing = sorted(set(datasets) - self.datasets(feature_set))
+        missing = sorted(set(datasets) - self.present(feature_set, datasets))
         if missing:
             self.write(feature_set, build(missing))
         return self.read(feature_set, datasets)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagscope.models.encoder import embed_sequences
+from bagscope.operators.clones import Gate
 from bagscope.plans import pipeline
 from bagscope.plans.config import CONFIGS, STANDARD
 from bagscope.session import materialize
@@ -55,6 +56,9 @@ def test_clone_only_pipeline(planted):
     fitted = pipeline.fit(sequences, labels, replace(CONFIGS["6"], important="clones"))
     assert separated(fitted.predict(sequences, test.select("repertoire_id"), dataset="t"), test)
     assert [r["junction_aa"] for r in fitted.important_sequences(sequences, "d").collect()] == ["CPUBLICF"]
+    none = pipeline.fit(sequences, labels, replace(CONFIGS["6"], important="clones", gate=Gate(min_pos=1000)))
+    assert none.important_sequences(sequences, "d").count() == 0
+    assert none.important_sequences(sequences, "d", 1, labels).first()["junction_aa"] == "CPUBLICF"
 
 
 def test_fixed_blend_with_embeddings(planted):
