@@ -407,7 +407,9 @@ def roc_auc(spark, sf_dir):
 
 @query
 def roc_auc_by_language(spark, sf_dir):
-    return me.roc_auc(_scores(spark, sf_dir), by=["lang", "model"]).select("lang", "model", _r("auc"))
+    """AUC per language, for the languages that have both classes."""
+    aucs = me.roc_auc(_scores(spark, sf_dir), by=["lang", "model"]).where("auc is not null")
+    return aucs.select("lang", "model", _r("auc"))
 
 
 @query
