@@ -53,7 +53,7 @@ class KmerFeatures:
 
 def fit_kmer_features(counts: DataFrame, labels: DataFrame, config: PipelineConfig) -> KmerFeatures:
     """Vocabulary of the labelled repertoires, pruned by count, forced k-mers and variance as configured."""
-    train = lookup_join(counts, labels.select(ID), [ID], "left_semi")
+    train = lookup_join(counts, labels.select(ID), [ID], "left_semi")  # a fold's counts, or all
     kept = materialize(km.vocabulary_with_forced(train, config.min_count, config.forced))
     chosen = kept
     if config.top_variance is not None:
@@ -66,7 +66,9 @@ def fit_kmer_features(counts: DataFrame, labels: DataFrame, config: PipelineConf
 
 def most_shared_clones(sequences: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """The ``k`` clones held by the most positive repertoires, with their ``rank``."""
-    shared = materialize(cl.clone_frequency(cl.clone_presence(sequences), labels))
+    positive = labels.where(F.col("label") == 1)
+    held = lookup_join(sequences, positive.select(ID), [ID], "left_semi")
+    shared = materialize(cl.clone_presence(held).groupBy(*CLONE_COLUMNS).agg(F.count(F.lit(1)).alias("n")))
     return top_k(shared.withColumn("n", F.col("n").cast("double")), "n", CLONE_COLUMNS, k)
 
 
@@ -220,6 +222,7 @@ def fit(
     overrides = overrides or {}
     families = [f for f in config.families if f != "embedding" or embeddings is not None]
     folds = materialize(fo.stratified_folds(labels, config.n_folds, config.seed))
+    sequences = lookup_join(sequences, labels.select(ID), [ID], "left_semi")  # before anything is counted
     out = FittedPipeline(config, families, {})
     oof: dict[str, DataFrame] = {}
     stacking = config.combine in ("select", "meta")
@@ -237,7 +240,7 @@ def fit(
         out.kmer_model = scaled_logistic(best, config.balanced).fit(vectors)
 
     if "clone" in families or config.important == "clones":
-        presence = materialize(lookup_join(cl.clone_presence(sequences), labels.select(ID), [ID], "left_semi"))
+        presence = materialize(cl.clone_presence(sequences))
         if stacking and "clone" in families:
             oof["clone"] = _clone_oof(presence, folds, config)
         out.clone_model = fit_clone_model(presence, labels, config.gate)
@@ -263,8 +266,11 @@ def fit(
         stacked = materialize(tr.stack({m: oof[m] for m in families}))
         out.meta_model = tr.fit_meta(stacked, families)
         measured = materialize(tr.model_weights(stacked, out.meta_model, families))
-        sizes = sequences.groupBy(ID).agg(F.count(F.lit(1)).alias("n_seq")).withColumn("dataset", F.lit("train"))
-        kind = type_from_sizes(lookup_join(sizes, labels.select(ID), [ID], "left_semi")).first()["dataset_type"]
+        held = sequences.groupBy(ID).agg(F.count(F.lit(1)).alias("n_seq"))
+        sizes = labels.select(ID).join(held, ID, "left").select(
+            F.lit("train").alias("dataset"), F.coalesce("n_seq", F.lit(0)).alias("n_seq")
+        )  # an empty repertoire has size zero
+        kind = type_from_sizes(sizes).first()["dataset_type"]
         chosen = en.select_weights(measured, kind, config.selection, config.top_n_models)
         out.report |= {"oof": stacked, "weights": chosen}
         out.weights = {r["model"]: r["final_weight"] for r in chosen.toLocalIterator()}  # two or three rows

@@ -107,21 +107,16 @@ def kmer_feature_names(spark, sf_dir):
     )
 
 
-def _train_test_counts(spark, sf_dir, k_list):
-    """Stored k-mer counts of the labelled (train) and the other (test) documents."""
-    counts = materialize(km.kmer_counts(tables.sequences(spark, sf_dir), k_list))
-    train_ids = tables.labels(spark, sf_dir).select("repertoire_id")
-    train = counts.join(train_ids, "repertoire_id", "left_semi")
-    test = counts.join(train_ids, "repertoire_id", "left_anti")
-    return train, test
+def _train_counts(spark, sf_dir, k_list):
+    """Stored k-mer counts of the labelled documents."""
+    return materialize(km.kmer_counts(tables.sequences(spark, sf_dir, "train"), k_list))
 
 
 @query
 def kmer_align_test(spark, sf_dir):
     """Test counts restricted to the pruned training vocabulary."""
-    train, test = _train_test_counts(spark, sf_dir, [3, 4])
-    vocab = materialize(km.vocabulary(train, MIN_COUNT))
-    return km.align(test, vocab)
+    vocab = materialize(km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir, "train"), [3, 4]), MIN_COUNT))
+    return km.align(km.kmer_counts(tables.sequences(spark, sf_dir, "test"), [3, 4]), vocab)
 
 
 @query
@@ -134,14 +129,15 @@ def kmer_zero_filled(spark, sf_dir):
 
 @query
 def kmer_feature_drift(spark, sf_dir):
-    train, test = _train_test_counts(spark, sf_dir, [3, 4])
+    train = km.total_counts(tables.sequences(spark, sf_dir, "train"), [3, 4])
+    test = km.total_counts(tables.sequences(spark, sf_dir, "test"), [3, 4])
     return km.feature_drift(km.vocabulary(train, MIN_COUNT), test)
 
 
 @query
 def kmer_freq_norm(spark, sf_dir):
     """Row frequencies over the pruned 4-mer vocabulary of the training set."""
-    train, _ = _train_test_counts(spark, sf_dir, [4])
+    train = _train_counts(spark, sf_dir, [4])
     kept = km.align(train, materialize(km.vocabulary(train, 2)))
     return km.frequencies(kept).select("repertoire_id", "kmer", _r("freq", 9))
 
@@ -149,7 +145,7 @@ def kmer_freq_norm(spark, sf_dir):
 @query
 def kmer_top_variance(spark, sf_dir):
     """The 5,000 4-mers whose training frequency varies most, absent k-mers counting as zeros."""
-    train, _ = _train_test_counts(spark, sf_dir, [4])
+    train = _train_counts(spark, sf_dir, [4])
     kept = km.align(train, materialize(km.vocabulary(train, 2)))
     n = tables.labels(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
     variances = km.feature_variance(km.frequencies(kept), n)
@@ -172,7 +168,7 @@ def kmer_blocks(spark, sf_dir):
 
 
 def _clone_counts(spark, sf_dir):
-    presence = cl.clone_presence(tables.sequences(spark, sf_dir))
+    presence = cl.clone_presence(tables.sequences(spark, sf_dir, "train"))
     return cl.clone_counts(presence, tables.labels(spark, sf_dir))
 
 

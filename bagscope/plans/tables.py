@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagscope.operators.joins import lookup_join
 from bagscope.session import spread
 
 TOKEN_SEPARATOR = r"[ \t\r\n]+"
@@ -18,9 +19,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as repertoires: each whitespace token is a sequence."""
-    tokens = documents(spark, sf_dir).select(
+def sequences(spark: SparkSession, sf_dir: str, part: str | None = None) -> DataFrame:
+    """Documents as repertoires: each whitespace token is a sequence.
+
+    ``part`` keeps the labelled ("train") or the other ("test") documents before their text is split.
+    """
+    texts = documents(spark, sf_dir)
+    if part is not None:
+        listed = table(spark, sf_dir, "labels").select("doc_id")
+        texts = lookup_join(texts, listed, ["doc_id"], "left_semi" if part == "train" else "left_anti")
+    tokens = texts.select(
         F.col("doc_id").alias("repertoire_id"),
         F.explode(F.split("text", TOKEN_SEPARATOR)).alias("junction_aa"),
         F.col("lang").alias("v_call"),
