@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bagscope.llm.base import balanced_sample, fold, small_batches
 from bagscope.llm.ngrams import grams, letters, slices
+from bagscope.session import materialize
 
 SIZES = (3, 4, 5)
 
@@ -176,12 +177,11 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     Labels of a document are joined by its key; null labels and texts are not drawn.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("_toxic in (0, 1)").distinct()
-    rows = (
-        documents.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (fold("doc_id", 5) != 0) & (F.length("text") <= settings.max_chars))
-        .join(marked, "doc_id")
-    )
-    drawn = balanced_sample(rows, "_toxic", settings.per_class, "doc_id", "text").select("text", "_toxic").toPandas()
+    texts = documents.where(F.col("text").isNotNull() & (fold("doc_id", 5) != 0) & (F.length("text") <= settings.max_chars)).select("doc_id", "text")
+    # drawn by key alone; only the texts of the bounded draw leave the scan
+    keys = balanced_sample(texts.select("doc_id").join(marked, "doc_id"), "_toxic", settings.per_class, "doc_id")
+    keys = materialize(keys)
+    drawn = texts.join(F.broadcast(keys), "doc_id").select("text", "_toxic").limit(4 * settings.per_class).toPandas()
     drawn = drawn.sort_values(["_toxic", "text"], kind="stable")
     return train(drawn["text"].tolist(), drawn["_toxic"].tolist(), settings)
 
