@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bagscope.llm.base import balanced_sample, fold, small_batches
 from bagscope.llm.ngrams import grams, letters, slices
@@ -195,7 +196,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     spark = documents.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: one weight per bucket
-    schema = documents.drop("toxicity").schema.add("toxicity", "double")
+    schema = T.StructType([*documents.drop("toxicity").schema.fields, T.StructField("toxicity", T.DoubleType())])
     def mapped(batches):
         known = shared.value
         for batch in batches:

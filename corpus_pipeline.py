@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bagscope.llm import toxicity
+from bagscope.llm import mixing, pieces, secret_scan, simhash, toxicity
 from bagscope.llm.base import table
 from bagscope.session import materialize
 
@@ -17,7 +18,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model).where("toxicity < 0.5").select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints the document of the smallest key; documents without a key stay."""
+    found = simhash.near_duplicates(docs)
+    removed = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(removed, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced and their length counted anew."""
+    found = secret_scan.scan(docs.select(*COLUMNS), secret_scan.fit(docs))
+    text = F.col("redacted")
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("bigint").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to even the sources out; each is given once at least, so none is lost."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and round_trip of each document of the mixture."""
+    return pieces.tokens(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier is trained in numpy, which SQL can't express; tests compare with a brute-force version.
+#: Trained classifiers and the encoder are outside SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
