@@ -26,6 +26,8 @@ MARK = 0x2581  # stands for a space
 CHUNK = 2 << 20
 #: Pairs of pieces whose compatibility an encoder remembers.
 MEMORY = 4 << 20
+#: Words whose pieces an encoder remembers; past that it begins anew.
+WORDS = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
 
@@ -73,6 +75,7 @@ class Encoder:
         for i in np.flatnonzero(v.kinds == 1):
             self.byte_ids[int(v.pieces[i][3:5], 16)] = i
         usable = [i for i in np.flatnonzero(v.kinds == 0).tolist() if not v.merges or len(self.merged(v.pieces[i])) == 1]
+        self.whole = {v.pieces[i] for i in usable}  # a text that is one of these merges to one piece
         self.longest = max((len(v.pieces[i]) for i in usable), default=1)
         powers = _powers(self.longest)
         keys = np.array([(_mixed(_codes(v.pieces[i])) * powers[: len(v.pieces[i])]).sum(dtype=np.uint64) for i in usable], np.uint64)
@@ -84,10 +87,16 @@ class Encoder:
         crowd = np.bincount((self.keys[:-1] >> np.uint64(64 - _SLOTS)).astype(np.int64), minlength=1)
         self.crowd = int(crowd.max()) if len(usable) else 1
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.slot_keys, self.slot_ok = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, bool)
+        self._forget_words()
         self.text_of = [p.replace("▁", " ").encode("utf-8", "surrogatepass") if k == 0 else b"" for p, k in zip(v.pieces, v.kinds)]
         for i in np.flatnonzero(v.kinds == 1):
             self.text_of[i] = bytes([int(v.pieces[i][3:5], 16)])
 
+    def _forget_words(self) -> None:
+        self.word_keys, self.word_begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.word_counts, self.word_flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by its merges: best score first, then the leftmost."""
         parts = list(text)
@@ -116,6 +125,17 @@ class Encoder:
         ok = np.ones(len(left), bool)
         known = (left >= 0) & (right >= 0)
         keys = left[known].astype(np.int64) * len(self.vocabulary.pieces) + right[known]
+        slots = ((keys.astype(np.uint64) * _P) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        answer = self.slot_ok[slots]
+        missed = np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(missed):
+            answer[missed] = self._looked_up(keys[missed])
+            self.slot_keys[slots[missed]], self.slot_ok[slots[missed]] = keys[missed], answer[missed]
+        ok[known] = answer
+        return ok
+
+    def _looked_up(self, keys: np.ndarray) -> np.ndarray:
+        """Compatibility of pairs (left * pieces + right) from all that was worked out so far, or anew."""
         at = np.searchsorted(self.pair_keys, keys)
         new = np.ones(len(keys), bool) if not len(self.pair_keys) else self.pair_keys[np.minimum(at, len(self.pair_keys) - 1)] != keys
         if new.any():
@@ -127,13 +147,12 @@ class Encoder:
             answers = []
             for k in fresh.tolist():
                 a, b = pieces[k // n], pieces[k % n]
-                answers.append(self.merged(a + b) == [a, b])
+                answers.append(a + b not in self.whole and self.merged(a + b) == [a, b])
             together = np.concatenate([self.pair_keys, fresh])
             order = np.argsort(together, kind="stable")
             self.pair_keys, self.pair_ok = together[order], np.concatenate([self.pair_ok, np.array(answers, bool)])[order]
             at = np.searchsorted(self.pair_keys, keys)
-        ok[known] = self.pair_ok[at]
-        return ok
+        return self.pair_ok[at]
 
     def _viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of words of one length (rows of code points), flat, and their number for each word.
@@ -215,7 +234,8 @@ class Encoder:
         return out, np.bincount(owner, sizes, len(counts)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each text has. Equal words are encoded once."""
+        """Ids of all texts one after another, and how many each text has. Equal words are encoded once,
+        and words met in earlier calls are looked up."""
         marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
         sizes = np.array([len(t) for t in marked], np.int64)
         codes = _codes("".join(marked))
@@ -233,24 +253,40 @@ class Encoder:
         inverse[0] = 1
         inverse = np.multiply.accumulate(inverse)
         keys = (sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64) * _P
-        _, first, word = np.unique(keys, return_index=True, return_inverse=True)
-        word_counts = np.zeros(len(first), np.int64)
-        parts, members = [], []
-        of_length = lengths[first]
+        unique, first, word = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.word_keys) > WORDS:
+            self._forget_words()
+        at = np.searchsorted(self.word_keys, unique)
+        met = np.zeros(len(unique), bool)
+        if len(self.word_keys):
+            met = self.word_keys[np.minimum(at, len(self.word_keys) - 1)] == unique
+        fresh = np.flatnonzero(~met)
+        parts, members = [self.word_flat], []
+        fresh_counts = np.zeros(len(fresh), np.int64)
+        of_length = lengths[first[fresh]]
         order = np.argsort(of_length, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(of_length[order])) + 1):
+        for group in np.split(order, np.flatnonzero(np.diff(of_length[order])) + 1) if len(order) else ():
             n = int(of_length[group[0]])
             step = max(1, (1 << 21) // n)
-            for at in range(0, len(group), step):
-                own = group[at : at + step]
-                flat, counts = self._bytes(*self._viterbi(codes[starts[first[own]][:, None] + np.arange(n)[None]]))
+            for i in range(0, len(group), step):
+                own = group[i : i + step]
+                flat, counts = self._bytes(*self._viterbi(codes[starts[first[fresh[own]]][:, None] + np.arange(n)[None]]))
                 parts.append(flat)
                 members.append(own)
-                word_counts[own] = counts
+                fresh_counts[own] = counts
         flat = np.concatenate(parts)
-        members = np.concatenate(members)
-        word_begin = np.empty(len(first), np.int64)
-        word_begin[members] = np.cumsum(word_counts[members]) - word_counts[members]
+        fresh_begin = np.empty(len(fresh), np.int64)
+        if members:
+            by_place = np.concatenate(members)
+            fresh_begin[by_place] = len(self.word_flat) + np.cumsum(fresh_counts[by_place]) - fresh_counts[by_place]
+        word_begin, word_counts = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        word_begin[met], word_counts[met] = self.word_begin[at[met]], self.word_counts[at[met]]
+        word_begin[fresh], word_counts[fresh] = fresh_begin, fresh_counts
+        together = np.concatenate([self.word_keys, unique[fresh]])
+        order = np.argsort(together, kind="stable")
+        self.word_keys, self.word_flat = together[order], flat
+        self.word_begin = np.concatenate([self.word_begin, fresh_begin])[order]
+        self.word_counts = np.concatenate([self.word_counts, fresh_counts])[order]
         each = word_counts[word]
         ends = np.cumsum(each)
         ids = flat[np.repeat(word_begin[word] - (ends - each), each) + np.arange(int(ends[-1]))]
