@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagscope.llm import langid, mixing, pieces, secret_scan, simhash, toxicity
+from bagscope.llm import fingerprints, langid, licences, mixing, neighbours, pieces, pii, secret_scan, simhash, toxicity
 from bagscope.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,22 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edited(table(spark, sf_dir, "documents"))
+
+
+def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -36,13 +48,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
+    "op2_licences": op2_licences,
     "op3_toxicity": op3_toxicity,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_personal": op5_personal,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
+    "op10_neighbours": op10_neighbours,
 }
 
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_licences": licences.SQL, "op6_mixing": mixing.SQL}
