@@ -25,11 +25,11 @@ class Settings:
     max_chars: int = 50_000
     bits: int = 17
     width: int = 8
-    rounds: int = 10
-    steps: int = 15
+    rounds: int = 5
+    steps: int = 8
     candidates: int = 4
     rate: float = 0.05
-    decay: float = 1e-5
+    decay: float = 1e-4
     seed: int = 7
 
 
