@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bagscope.functions.text import truncate_for_encoder
-from bagscope.operators.joins import hot_split_join
+from bagscope.operators.joins import lookup_join
 from bagscope.session import materialize
 
 # workers get the functions below by value and need no copy of this package
@@ -79,4 +79,4 @@ def embed_sequences(
         "encoder_input", truncate_for_encoder(F.col("junction_aa"))
     )
     vectors = materialize(embed_distinct(sequences, make_encoder, batch_size))
-    return hot_split_join(keyed, vectors, "encoder_input").drop("encoder_input")
+    return lookup_join(keyed, vectors, ["encoder_input"]).drop("encoder_input")

@@ -7,41 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BINS = 1024
+from bagscope.session import materialize
 
 
 def roc_auc(predictions: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve per group, ties counted half; null where a class is missing.
 
-    Equal scores are combined before anything is ordered. The running count of negatives comes in two
-    steps: over at most 1,024 score bins of a group, then within each bin, so no group is one task.
+    Rows without a score, a NaN score or a label other than 0 and 1 take no part. Equal scores are combined
+    first, then put in order by range partitions of group and score. Running counts are taken within a
+    partition's share of a group and moved up by the counts of the group's earlier partitions, so neither a
+    large group nor clustered scores end in one task.
     """
     keys = list(by) or ["__all"]
     rows = predictions if by else predictions.withColumn("__all", F.lit(1))
-    by_score = rows.groupBy(*keys, F.col(score).cast("double").alias("__score")).agg(
+    value = F.col(score).cast("double")
+    usable = rows.where(value.isNotNull() & ~F.isnan(value) & F.col(label).isin(0, 1))
+    by_score = usable.groupBy(*keys, value.alias("__score")).agg(
         F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg")
     )
-    ranges = by_score.groupBy(*keys).agg(
-        F.min("__score").alias("__lo"),
-        F.max("__score").alias("__hi"),
-        F.sum("__pos").alias("__p"),
-        F.sum("__neg").alias("__n"),
-    )
-    width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
-    place = F.floor((F.col("__score") - F.col("__lo")) / width * _BINS)
-    binned = by_score.join(ranges, keys).withColumn("__bin", F.least(place, F.lit(_BINS - 1)))
-    before_bin = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        binned.groupBy(*keys, "__bin")
-        .agg(F.sum("__neg").alias("__bin_neg"))
-        .withColumn("__below_bin", F.coalesce(F.sum("__bin_neg").over(before_bin), F.lit(0)))
-        .drop("__bin_neg")
-    )
-    before_score = Window.partitionBy(*keys, "__bin").orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
-    within = binned.withColumn("__below_in_bin", F.coalesce(F.sum("__neg").over(before_score), F.lit(0)))
-    pairs = F.col("__pos") * (F.col("__below_bin") + F.col("__below_in_bin") + F.col("__neg") / 2)
-    auc = F.sum(pairs) / F.nullif(F.first("__p") * F.first("__n"), F.lit(0)).cast("double")
-    out = within.join(bins, [*keys, "__bin"]).groupBy(*keys).agg(auc.alias("auc"))
+    ordered = by_score.repartitionByRange(*keys, "__score").withColumn("__part", F.spark_partition_id())
+    ordered = materialize(ordered)
+    share = ordered.groupBy("__part", *keys).agg(F.sum("__neg").alias("__share"))  # a row per partition and group
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    share = share.select("__part", *keys, F.coalesce(F.sum("__share").over(earlier), F.lit(0)).alias("__below_part"))
+    before = Window.partitionBy("__part", *keys).orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
+    within = ordered.withColumn("__below_in_part", F.coalesce(F.sum("__neg").over(before), F.lit(0)))
+    same = F.col("__part") == F.col("__other_part")
+    right = share.withColumnRenamed("__part", "__other_part")
+    for key in keys:
+        right = right.withColumnRenamed(key, f"__other_{key}")
+        same = same & F.col(key).eqNullSafe(F.col(f"__other_{key}"))
+    joined = within.join(right, same)
+    pairs = F.col("__pos") * (F.col("__below_part") + F.col("__below_in_part") + F.col("__neg") / 2)
+    auc = F.sum(pairs) / F.nullif(F.sum("__pos") * F.sum("__neg"), F.lit(0)).cast("double")
+    out = joined.groupBy(*keys).agg(auc.alias("auc"))
     return out if by else out.select("auc")
 
 

@@ -12,6 +12,8 @@ from bagscope.session import materialize
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above the low 33 bits
 _ROW_MASK = (1 << _ROW_BITS) - 1
 _BINS = 4096
+_LOOKS = 6
+_FEW = 50_000  # so many rows are ordered without another look
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column], name: str = "idx") -> DataFrame:
@@ -43,21 +45,29 @@ def ordered_index(df: DataFrame, order: Sequence[Column], name: str = "idx") ->
 def top_k(df: DataFrame, score: str, ties: Sequence[str], k: int, name: str = "rank") -> DataFrame:
     """The ``k`` rows with the highest ``score``, ties in ascending order of ``ties``, ranked from 1.
 
-    A histogram of the scores finds a cut-off that at least ``k`` rows reach; only those rows are then
-    ordered, in parallel. ``df`` is read three times, so hand in a stored table.
+    Null and NaN scores are never ranked; infinite ones are. A histogram finds a cut-off that at least ``k``
+    rows reach, and looks again into the bin of the cut-off while that bin holds many more: an outlier or a
+    cluster of scores doesn't leave all rows to be ordered. Only rows above the cut-off are then ordered, in
+    parallel. ``df`` is read once for each look, so hand in a stored table.
     """
-    low, high = df.agg(F.min(score), F.max(score)).first()
-    survivors = df
-    if low is not None and high > low:
-        width = (high - low) / _BINS
-        bin_of = F.least(F.floor((F.col(score) - F.lit(low)) / F.lit(width)), F.lit(_BINS - 1))
-        counts = df.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        reached, cut = 0, None
-        for row in counts.where("bin is not null").orderBy(F.desc("bin")).toLocalIterator():  # <= 4096 rows
-            reached, cut = reached + row["n"], row["bin"]
-            if reached >= k:
+    value = F.atan(F.col(score).cast("double"))  # finite for infinite scores, and in the same order
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    low, high, above = None, None, 0
+    for _ in range(_LOOKS):
+        inside = rows if low is None else rows.where(value.between(low, high))
+        first, last, held = inside.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+        low = first if low is None else low
+        if first is None or first == last or above + held <= max(4 * k, _FEW):
+            break
+        width = (last - first) / _BINS
+        bin_of = F.least(F.floor((value - F.lit(first)) / F.lit(width)), F.lit(_BINS - 1)).cast("int")
+        bins = inside.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        for row in bins.orderBy(F.desc("bin")).toLocalIterator():  # <= 4096 rows
+            low, high = row["low"], row["high"]
+            if above + row["n"] >= k:
                 break
-        survivors = df.where(bin_of >= F.lit(cut))
+            above += row["n"]
+    survivors = rows if low is None else rows.where(value >= F.lit(low))
     order = [F.col(score).desc(), *[F.col(c).asc_nulls_first() for c in ties]]
     ranked = ordered_index(survivors, order, name)
     return ranked.where(F.col(name) < k).withColumn(name, F.col(name) + 1)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
@@ -185,12 +185,14 @@ class FittedPipeline:
         if self.meta_model is not None:
             self.meta_model.write().overwrite().save(f"{path}/meta_model")
         spark = spark or SparkSession.getActiveSession()
-        state = dict(models=self.models, weights=self.weights, variant=self.embedding_variant)
+        state = dict(models=self.models, weights=self.weights, variant=self.embedding_variant, config=asdict(self.config))
         spark.createDataFrame([(json.dumps(state),)], "state string").write.mode("overwrite").text(f"{path}/state")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, config: PipelineConfig) -> FittedPipeline:
+    def load(cls, spark: SparkSession, path: str, config: PipelineConfig | None = None) -> FittedPipeline:
+        """A saved pipeline with the configuration it was fitted with, unless another is given."""
         state = json.loads(spark.read.text(f"{path}/state").first()["value"])
+        config = config or PipelineConfig.of(state["config"])
         out = cls(config, state["models"], state["weights"], embedding_variant=state["variant"])
         if "kmer" in out.models or config.important == "weights":
             vocab = spark.read.parquet(f"{path}/vocabulary")
@@ -219,7 +221,7 @@ def fit(
     ``overrides`` replaces settings of named classifiers, for example to shrink forests in trial runs.
     Without embeddings the embedding family is left out.
     """
-    overrides = overrides or {}
+    settings_of = config.settings_of(overrides)
     families = [f for f in config.families if f != "embedding" or embeddings is not None]
     folds = materialize(fo.stratified_folds(labels, config.n_folds, config.seed))
     sequences = lookup_join(sequences, labels.select(ID), [ID], "left_semi")  # before anything is counted
@@ -252,12 +254,12 @@ def fit(
         }
         variant, model = next(iter(variants)), config.embedding_models[0]
         if len(variants) * len(config.embedding_models) > 1:
-            grid = tr.search_embeddings(variants, config.embedding_models, overrides)
+            grid = tr.search_embeddings(variants, config.embedding_models, settings_of)
             winner = tr.grid_winner(grid).first()
             variant, model = winner["variant"], winner["model"]
             out.report["embedding_grid"] = grid
-        settings = overrides.get(model, {})
-        estimator = scaled(model, **settings) if config.scale_embeddings else classifier(model, **settings)
+        settings = settings_of.get(model, {})
+        estimator = scaled(model, **settings) if config.scale_embeddings else Pipeline(stages=[classifier(model, **settings)])
         if stacking:
             oof["embedding"] = tr.out_of_fold(variants[variant], estimator.fit)
         out.embedding_variant, out.embedding_model = variant, estimator.fit(variants[variant])
@@ -314,7 +316,7 @@ def blend_benchmark(
     from bagscope.operators.metrics import roc_auc
 
     name = config.embedding_models[0]
-    estimator = classifier(name, C=config.c_grid[0], **(overrides or {}).get(name, {}))
+    estimator = classifier(name, **config.settings_of(overrides).get(name, {}))
     by_embedding = materialize(tr.out_of_fold(folds.join(embedding_vectors, ID), estimator.fit))
     by_kmer = None
     for fold in range(config.n_folds):

@@ -64,7 +64,7 @@ def analyse(
     sk.save_important_sequences(important, f"{out_dir}/{train}_important_sequences.tsv")
     predictions = []
     if tests:
-        ids = headers.where(F.col("dataset").isin(list(tests))).select("dataset", "repertoire_id").distinct()
+        ids = headers.where("usable").where(F.col("dataset").isin(list(tests))).select("dataset", "repertoire_id").distinct()
         test_vectors = None if embeddings is None else features.embeddings(sorted(tests), make_encoder)
         predicted = fitted.predict(features.sequences(sorted(tests)), ids, test_vectors)
         sk.save_predictions(predicted, f"{out_dir}/{train}_test_predictions.tsv")

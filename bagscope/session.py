@@ -18,8 +18,12 @@ DEFAULTS = {
 }
 
 
+#: Inputs of at most so many bytes are dealt out over the cores when they come in fewer parts.
+SMALL_INPUT = 64 << 20
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "bagscope") -> SparkSession:
-    """A session for tests and benchmarks; on a cluster pass your own session instead."""
+    """A session for tests and benchmarks with a shared folder of its own; on a cluster pass your own session instead."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -27,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bagscope-"))
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -36,18 +41,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder intermediate tables go to: ``spark.checkpoint.dir`` as the cluster names it.
+    """The folder of this application's intermediate tables, under ``spark.checkpoint.dir`` as the session names it.
 
-    Only a local master may fall back to a temporary folder of this machine; a cluster without the
-    setting is an error, because executors could not read each other's files.
+    Without the setting there is no folder that all executors are known to share, which is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="bagscope-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder.rstrip('/')}/bagscope-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Call it when all results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -55,20 +63,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Used where a result is read more than once or where an iterative job would grow its lineage. The
     table survives the loss of executors, is column-pruned by its readers, and its known size lets
-    Catalyst choose join sides.
+    Catalyst choose join sides. :func:`release` deletes it at the end of the application's work.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/bagscope-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Raise the parallelism of an input that has fewer splits than the cluster has cores.
+    """A small input in fewer parts than the cluster has cores, dealt out over them; any other input as it is.
 
-    Costs a shuffle only for small or single-row-group inputs; large inputs are returned as they are.
+    ``df`` is a scan, whose size Spark knows from its files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_INPUT:
         return df
-    return df.repartition(cores, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

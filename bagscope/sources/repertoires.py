@@ -14,6 +14,8 @@ from bagscope.operators.joins import lookup_join
 from bagscope.session import materialize
 
 ID = "repertoire_id"
+#: Each layout is a read of the directories; more different header lines than this are taken for damaged files.
+MAX_LAYOUTS = 64
 _CSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
@@ -21,72 +23,84 @@ class InvalidInput(ValueError):
     """Input directories that cannot be used as they are."""
 
 
+def _decoded(name: str) -> Column:
+    """A path or name of ``_metadata`` as it is on disk: Spark encodes blanks and brackets, but not a plus sign."""
+    return F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B")))
+
+
 def _file_columns() -> list[Column]:
     """Dataset (the parent folder's name) and id (the file's name) of every row read from a file."""
-    path = F.url_decode(F.col("_metadata.file_path"))
+    path = _decoded("_metadata.file_path")
     return [
         F.element_at(F.split(path, "/"), -2).alias("dataset"),
-        repertoire_id_from_name(F.col("_metadata.file_name")).alias(ID),
+        repertoire_id_from_name(_decoded("_metadata.file_name")).alias(ID),
     ]
 
 
 def file_headers(spark: SparkSession, paths: Sequence[str], pattern: str = "*.tsv") -> DataFrame:
-    """(path, dataset, repertoire_id, header) of every file that starts with a usable header line.
+    """(path, dataset, repertoire_id, header, usable) of every file that is not empty.
 
-    One scan keeps only lines at the start of a file that name all clone columns. Header-only files
+    ``header`` holds the tab-joined column names of the first line, quotes taken off; later lines are no
+    headers, whatever they say. A file is ``usable`` if all clone columns are among them. Header-only files
     appear here, so an empty repertoire is not lost.
     """
     lines = spark.read.text(list(paths), pathGlobFilter=pattern).where(F.col("_metadata.file_block_start") == 0)
-    fields = F.split("value", "\t")
-    has_all = F.lit(True)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("path"), *_file_columns(), "value", F.monotonically_increasing_id().alias("__at")
+    )
+    first = lines.groupBy("path", "dataset", ID).agg(F.min_by("value", "__at").alias("line"))
+    plain = F.regexp_replace("line", "^\ufeff|\r$", "")
+    names = F.transform(
+        F.split(plain, "\t"), lambda c: F.regexp_replace(F.regexp_replace(c, '^"(.*)"$', "$1"), '""', '"')
+    )
+    usable = F.lit(True)
     for column in CLONE_COLUMNS:
-        has_all = has_all & F.col("value").contains(column)
-    return (
-        lines.where(has_all)
-        .where(F.array_contains(fields, CLONE_COLUMNS[0]) & F.array_contains(fields, CLONE_COLUMNS[1])
-               & F.array_contains(fields, CLONE_COLUMNS[2]))
-        .select(F.col("_metadata.file_path").alias("path"), *_file_columns(), F.col("value").alias("header"))
+        usable = usable & F.array_contains(names, column)
+    return first.select("path", "dataset", ID, F.array_join(names, "\t").alias("header"), usable.alias("usable"))
+
+
+def _read_layout(spark: SparkSession, paths: list[str], header: str, pattern: str, enforce: bool = True) -> DataFrame:
+    """All files read with a schema in this header's order; columns that are not asked for may repeat a name."""
+    names = header.split("\t")
+    unique = [c if c in CLONE_COLUMNS and names.index(c) == i else f"__{i}" for i, c in enumerate(names)] if enforce else names
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in unique])
+    rows = spark.read.options(**_CSV, enforceSchema=str(enforce).lower()).schema(schema).csv(paths, pathGlobFilter=pattern)
+    return rows.select(
+        *_file_columns(), *[null_tokens_to_null(F.col(c)).alias(c) for c in CLONE_COLUMNS], F.col("_metadata.file_path").alias("__path")
     )
 
 
-def _read_group(spark: SparkSession, paths: list[str], header: str, pattern: str) -> DataFrame:
-    """Files that share one header, read with a schema in that header's order."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split("\t")])
-    rows = spark.read.options(**_CSV).schema(schema).csv(paths, pathGlobFilter=pattern)
-    return rows.select(*_file_columns(), *[null_tokens_to_null(F.col(c)).alias(c) for c in CLONE_COLUMNS])
-
-
 def read_sequences(
     spark: SparkSession, directories: str | Sequence[str], header: str | None = None, pattern: str = "*.tsv",
     headers: DataFrame | None = None,
 ) -> DataFrame:
-    """(dataset, repertoire_id, junction_aa, v_call, j_call) of every file of the directories that matches ``pattern``.
+    """(dataset, repertoire_id, junction_aa, v_call, j_call) of every usable file of the directories that matches ``pattern``.
 
     Files may order their columns differently and carry extra ones. A multi-file CSV read matches columns
-    by position, so files are first grouped by header and each group is read with its own schema. When all
-    files are known to share one ``header`` line, passing it saves the pass that looks at headers; Spark
-    then fails on a file that differs instead of misreading it. ``headers`` is a stored
-    :func:`file_headers` table of the directories, if there is one already.
+    by position, so there is one read for each layout, of which only the files of that layout are kept;
+    files without the clone columns are in none. When all files are known to share one ``header`` line,
+    passing it saves the pass that looks at headers; Spark then fails on a file that differs instead of
+    misreading it. ``headers`` is a stored :func:`file_headers` table of the directories, if there is one already.
     """
     dirs = [directories] if isinstance(directories, str) else list(directories)
     if header is not None:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split("\t")])
-        rows = spark.read.options(**_CSV, enforceSchema="false").schema(schema).csv(dirs, pathGlobFilter=pattern)
-        return rows.select(*_file_columns(), *[null_tokens_to_null(F.col(c)).alias(c) for c in CLONE_COLUMNS])
+        return _read_layout(spark, dirs, header, pattern, enforce=False).drop("__path")
     if headers is None:
         headers = materialize(file_headers(spark, dirs, pattern))
-    layouts = [row["header"] for row in headers.select("header").distinct().toLocalIterator()]
+    counted = headers.where("usable").groupBy("header").agg(F.count(F.lit(1)).alias("n"))
+    layouts = counted.orderBy("header").limit(MAX_LAYOUTS + 1).collect()
     if not layouts:
         raise InvalidInput(f"no .tsv file with the columns {', '.join(CLONE_COLUMNS)} in {dirs}")
+    if len(layouts) > MAX_LAYOUTS:
+        raise InvalidInput(f"more than {MAX_LAYOUTS} different header lines in {dirs}")
+    alone = len(layouts) == 1 and headers.count() == layouts[0]["n"]
     out = None
-    for layout in sorted(layouts):
-        # all in one layout: hand Spark the directories; otherwise the files of this layout (paths only,
-        # which the driver lists for any read anyway)
-        paths = dirs
-        if len(layouts) > 1:
-            paths = [r["path"] for r in headers.where(F.col("header") == layout).select("path").toLocalIterator()]
-        part = _read_group(spark, paths, layout, pattern)
-        out = part if out is None else out.unionByName(part)
+    for layout in layouts:
+        part = _read_layout(spark, dirs, layout["header"], pattern)
+        if not alone:
+            own = headers.where("usable").where(F.col("header") == layout["header"]).select(F.col("path").alias("__path"))
+            part = lookup_join(part, own, ["__path"], "left_semi")
+        out = part.drop("__path") if out is None else out.unionByName(part.drop("__path"))
     return out
 
 
@@ -106,7 +120,7 @@ def read_metadata(spark: SparkSession, path: str | Sequence[str], labelled: bool
         raise InvalidInput("metadata needs repertoire_id, ID or filename")
     if labelled and "label_positive" not in have:
         raise InvalidInput("metadata has no label_positive column")
-    dataset = F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -2)
+    dataset = F.element_at(F.split(_decoded("_metadata.file_path"), "/"), -2)
     columns = [dataset.alias("dataset"), F.coalesce(*keys).alias(ID)]
     if "filename" in have:
         columns.append(F.col("filename"))
@@ -128,7 +142,7 @@ def repertoire_ids(spark: SparkSession, directory: str, metadata: DataFrame | No
     """Ids of a directory: those of its metadata, or of its files when there is none."""
     if metadata is not None:
         return metadata.select(ID).distinct()
-    return file_headers(spark, [directory]).select(ID).distinct()
+    return file_headers(spark, [directory]).where("usable").select(ID).distinct()
 
 
 def full_dataset(sequences: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -162,13 +176,14 @@ def validate_inputs(
     spark: SparkSession, train_dir: str, test_dirs: Sequence[str], headers: DataFrame | None = None
 ) -> DataFrame:
     """Raise :class:`InvalidInput` when a directory has no usable file or the train set no metadata;
-    otherwise return the gaps between train metadata and train files.
+    otherwise return the gaps between train metadata and train files, and the files that can't be read
+    (problem ``unusable_file``).
 
     ``headers`` is a stored :func:`file_headers` table of all the directories, if there is one already.
     """
     if headers is None:
         headers = read_headers(spark, [train_dir, *test_dirs])
-    found = {row["dataset"] for row in headers.select("dataset").distinct().toLocalIterator()}
+    found = {row["dataset"] for row in headers.where("usable").select("dataset").distinct().toLocalIterator()}
     for directory in [train_dir, *test_dirs]:
         if folder_name(directory) not in found:
             raise InvalidInput(f"no usable .tsv file in {directory}")
@@ -176,7 +191,9 @@ def validate_inputs(
         metadata = read_metadata(spark, f"{train_dir}/metadata.csv", labelled=True)
     except AnalysisException as error:
         raise InvalidInput(f"metadata.csv not found in {train_dir}") from error
-    return metadata_gaps(metadata, headers.where(F.col("dataset") == folder_name(train_dir)))
+    train = headers.where("usable").where(F.col("dataset") == folder_name(train_dir))
+    unusable = headers.where("not usable").select(ID, F.lit("unusable_file").alias("problem"))
+    return metadata_gaps(metadata, train).unionByName(unusable)
 
 
 def read_headers(spark: SparkSession, directories: Sequence[str]) -> DataFrame:

@@ -40,22 +40,63 @@ def test_first_n_per_group_with_a_hot_group(spark):
     assert got == {(g, i) for g, ids in brute.items() for i in sorted(ids)[-4:]}
 
 
+def test_top_k_with_null_nan_infinite_and_outlying_scores(spark):
+    inf, nan = float("inf"), float("nan")
+    data = [(f"n{i:02d}", None) for i in range(20)] + [(f"s{i}", float(i)) for i in range(10)]
+    data += [("nan", nan), ("up", inf), ("up2", inf), ("down", -inf)]
+    df = spark.createDataFrame(data, "name string, score double")
+    expected = sorted(((n, x) for n, x in data if x is not None and x == x), key=lambda r: (-r[1], r[0]))
+    for k in (1, 2, 5, 12, 13, 40):
+        got = [(r["name"], r["score"]) for r in top_k(df, "score", ["name"], k).orderBy("rank").collect()]
+        assert got == expected[:k]
+
+
+def test_top_k_looks_again_where_scores_cluster(spark):
+    df = spark.range(200_000).select("id", F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") / 1e9).alias("score"))
+    got = [r["id"] for r in top_k(df, "score", ["id"], 3).orderBy("rank").collect()]
+    assert got == [7, 199_999, 199_998]
+
+
 def test_salted_join_equals_broadcast_join(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise((F.col("id") % 9).cast("string")).alias("key"), "id")
-    rows = rows.unionByName(spark.createDataFrame([(None, 9999)], "key string, id long"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 9990 + i) for i in range(150)], "key string, id long"))
     table = spark.createDataFrame([("hot", 1), ("3", 2), (None, 3), ("unused", 4)], "key string, value int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         for null_safe in (False, True):
             small = joins.lookup_join(rows, table, ["key"], how, null_safe)
-            large = joins.lookup_join(rows, table, ["key"], how, null_safe, broadcast_rows=0, salts=8)
+            large = joins.lookup_join(rows, table, ["key"], how, null_safe, broadcast_rows=0, salts=8, hot_rows=100)
             assert small.columns == large.columns
             assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect())), (how, null_safe)
-    plan = joins.lookup_join(rows, table, ["key"], broadcast_rows=0)._jdf.queryExecution().toString()
-    assert "__salt" in plan
 
 
-def test_hot_split_join_equals_join(spark):
-    rows = spark.range(6000).select(F.when(F.col("id") % 3 != 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("key"), "id")
-    table = spark.createDataFrame([("hot", 1)] + [(str(i), i) for i in range(40)], "key string, value int")
-    got = sorted(tuple(r) for r in joins.hot_split_join(rows, table, "key").select("key", "id", "value").collect())
-    assert got == sorted(tuple(r) for r in rows.join(table, "key").select("key", "id", "value").collect())
+def test_only_measured_hot_keys_are_salted(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
+    table = spark.range(-1, 20_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    for hot_rows, salted in ((100, True), (1000, False)):
+        joined = joins.lookup_join(rows, table, ["key"], broadcast_rows=0, hot_rows=hot_rows)
+        assert ("__salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == salted
+        assert joined.where("value <> key * 2").count() == 0 and joined.count() == 20_000
+
+
+def test_small_inputs_are_spread_and_no_others(spark, tmp_path, monkeypatch):
+    from bagscope import session
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(df, "id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(session, "SMALL_INPUT", 10)
+    assert session.spread(df, "id").rdd.getNumPartitions() == 1
+
+
+def test_intermediate_tables_are_released(spark, monkeypatch):
+    import os
+
+    from bagscope import session
+
+    stored = session.materialize(spark.range(5))
+    path = stored.inputFiles()[0].removeprefix("file://")
+    assert stored.count() == 5 and path.startswith(session.shared_folder(spark))
+    monkeypatch.setattr(session, "shared_folder", lambda _: path.rsplit("/", 2)[0] + "/released")
+    other = session.materialize(spark.range(5)).inputFiles()[0].removeprefix("file://")
+    session.release(spark)
+    assert not os.path.exists(other) and os.path.exists(path)

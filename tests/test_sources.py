@@ -107,3 +107,28 @@ def test_sinks(spark, tmp_path):
         sk.save_predictions(predictions.where("false"), str(tmp_path / "none"))
     sk.save_submission([predictions.where("false")], [], str(tmp_path / "empty"))
     assert spark.read.csv(str(tmp_path / "empty"), header=True).columns == predictions.columns
+
+
+def test_only_first_lines_are_headers_and_unusable_files_are_not_read(spark, tmp_path):
+    folder = tmp_path / "train_dataset_9"
+    folder.mkdir()
+    files = {
+        "plain.tsv": "junction_aa\tv_call\tj_call\nCAS\tV1\tJ1\n",
+        "quoted.tsv": '"v_call"\t"junction_aa"\t"j_call"\nV2\tCQQ\tJ2\n',
+        "missing.tsv": "v_call\tj_call\nV3\tJ3\n",
+        "twice.tsv": "junction_aa\tv_call\tj_call\nCTT\tV4\tJ4\njunction_aa\tv_call\tj_call\n",
+        "b+b [1].tsv": "j_call\tx\tjunction_aa\tv_call\nJ5\tq\tCBB\tV5\n",
+        "empty.tsv": "",
+        "only.tsv": "junction_aa\tv_call\tj_call\n",
+    }
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    got = sorted(tuple(r) for r in rp.read_sequences(spark, str(folder)).select("repertoire_id", "junction_aa", "v_call", "j_call").collect())
+    assert got == [
+        ("b+b [1]", "CBB", "V5", "J5"), ("plain", "CAS", "V1", "J1"), ("quoted", "CQQ", "V2", "J2"),
+        ("twice", "CTT", "V4", "J4"), ("twice", "junction_aa", "v_call", "j_call"),
+    ]
+    assert {r[0] for r in rp.repertoire_ids(spark, str(folder)).collect()} == {"plain", "quoted", "twice", "b+b [1]", "only"}
+    (folder / "metadata.csv").write_text("repertoire_id,label_positive\nplain,True\n")
+    gaps = {tuple(r) for r in rp.validate_inputs(spark, str(folder), []).collect()}
+    assert ("missing", "unusable_file") in gaps and ("twice", "not_in_metadata") in gaps

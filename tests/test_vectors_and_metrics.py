@@ -151,3 +151,59 @@ def test_scoring_shuffles_sequences_once(spark):
     weights = spark.createDataFrame([("abc", 1.0)], "kmer string, weight double")
     plan = im.score_sequences(sequences, weights, [3, 4])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(junction_aa") == 1
+
+
+def test_roc_auc_leaves_unusable_rows_out_and_takes_clustered_scores(spark):
+    import random
+
+    from bagscope.operators.metrics import roc_auc
+
+    rng = random.Random(1)
+    data = [("a", rng.choice([0.1, 0.2, 0.2000001, 1e9]), rng.randint(0, 1)) for _ in range(400)]
+    data += [("b", 0.5, i % 2) for i in range(10)] + [("c", 0.3, 1), ("c", 0.4, 1)]
+    odd = [("a", None, 1), ("a", float("nan"), 0), ("a", 0.3, None), ("a", float("inf"), 1), ("a", float("-inf"), 0)]
+
+    def brute(rows):
+        up, down = [x for x, y in rows if y == 1], [x for x, y in rows if y == 0]
+        return sum((p > n) + (p == n) / 2 for p in up for n in down) / (len(up) * len(down)) if up and down else None
+
+    df = spark.createDataFrame(data + odd, "g string, score double, label int").repartition(7)
+    want = {g: brute([(x, y) for h, x, y in data + odd[3:] if h == g]) for g in "abc"}
+    got = {r["g"]: r["auc"] for r in roc_auc(df, by=["g"]).collect()}
+    assert got.keys() == want.keys() and got["c"] is None
+    assert abs(got["a"] - want["a"]) < 1e-12 and got["b"] == 0.5
+
+
+def test_roc_auc_moves_no_rows_by_the_group_alone(spark):
+    from bagscope.operators.metrics import roc_auc
+
+    df = spark.range(1000).select((F.col("id") % 7 / 7).alias("score"), (F.col("id") % 2).cast("int").alias("label"))
+    plan = roc_auc(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "__part" in plan
+
+
+def test_kernel_width_is_that_of_standardised_features(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from bagscope.models import zoo
+
+    rng = np.random.default_rng(0)
+    rows = [(str(i), i % 2, Vectors.dense(rng.normal([5, -3, 40, 0], [1, 2, 3, 4]).tolist())) for i in range(80)]
+    df = spark.createDataFrame(rows, ["repertoire_id", "label", "features"])
+    model = zoo.scaled("SVM_RBF", numFeatures=16, parts=2, maxIter=3).fit(df)
+    fourier = model.stages[1].stages[0]
+    assert abs(fourier.getOrDefault(fourier.gamma) - 0.25) < 1e-9
+
+
+def test_pipeline_8_uses_its_own_strength():
+    from bagscope.plans.config import CONFIGS, PipelineConfig
+
+    config = CONFIGS["8"]
+    assert config.settings_of()["SVM_RBF"]["C"] == 0.5
+    assert config.settings_of({"SVM_RBF": {"parts": 2}})["SVM_RBF"] == {"C": 0.5, "parts": 2}
+    import json
+    from dataclasses import asdict
+
+    for one in CONFIGS.values():
+        assert PipelineConfig.of(json.loads(json.dumps(asdict(one)))) == one
