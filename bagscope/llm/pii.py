@@ -155,7 +155,7 @@ def disclosing(documents: DataFrame, found: DataFrame, settings: Settings = Sett
 
     With N documents, n(e) contexts of the entity, d(t) documents of the term and n(e, t) contexts of both:
     log(N n(e, t) / (n(e) d(t))) / log(N / n(e)). The contexts are counted over the entities of all documents,
-    the documents of a term over all texts; only terms with enough contexts beside one entity are counted there.
+    the documents of a term over all texts.
     """
     near = found.where(F.size("terms") > 0).select(F.explode("terms").alias("t")).select("t.kind", "t.entity", "t.context", "t.term").distinct()
     near = materialize(near)
@@ -164,9 +164,8 @@ def disclosing(documents: DataFrame, found: DataFrame, settings: Settings = Sett
     together = materialize(together.join(entities, ["kind", "entity"]))
     if together.isEmpty():
         return together.select("kind", "entity", "term", F.lit(1.0).alias("disclosure"))
-    wanted = together.select("term").distinct()
     words = documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    counted = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = words.groupBy("term").agg(F.count("*").alias("n_term"))  # summed before anything is joined
     total = float(max(2, documents.count()))
     n_term = F.greatest(F.coalesce("n_term", F.lit(1)), F.lit(1))
     own = F.greatest(F.log(F.lit(total) / F.col("n_entity")), F.lit(1e-9))
