@@ -108,9 +108,13 @@ def strongest(stats: DataFrame, n: int) -> DataFrame:
     return kept_clones(stats).orderBy("p_value", *CLONE_COLUMNS).limit(n)
 
 
-def clone_matrix(presence: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Which selected clones each repertoire holds, as (repertoire, idx) rows."""
-    return lookup_join(presence, indexed.select(*CLONE_COLUMNS, "idx"), CLONE_COLUMNS, null_safe=True).select(ID, "idx")
+def clone_matrix(rows: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Which selected clones each repertoire holds, as distinct (repertoire, idx) rows.
+
+    ``rows`` are sequences or their presence; the selected clones are looked up before anything is made distinct.
+    """
+    chosen = indexed.select(*CLONE_COLUMNS, "idx")
+    return lookup_join(rows.select(ID, *CLONE_COLUMNS), chosen, CLONE_COLUMNS, null_safe=True).select(ID, "idx").distinct()
 
 
 def clone_frequency(rows: DataFrame, labels: DataFrame) -> DataFrame:

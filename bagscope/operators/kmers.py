@@ -17,15 +17,19 @@ ID = "repertoire_id"
 
 
 def kmer_counts(
-    sequences: DataFrame, k_list: Iterable[int], sequence_col: str = "junction_aa", by: Sequence[str] = (ID,)
+    sequences: DataFrame, k_list: Iterable[int], sequence_col: str = "junction_aa", by: Sequence[str] = (ID,),
+    vocab: DataFrame | None = None,
 ) -> DataFrame:
     """Occurrences of every k-mer per repertoire, with multiplicity within and across sequences.
 
-    ``by`` may add the dataset, so that one job covers many. Counts are combined on the map side, so what is
+    ``by`` may add the dataset, so that one job covers many. With a stored ``vocab`` only its k-mers are
+    counted: the others are left out before anything is shuffled. Counts are combined on the map side, so what is
     shuffled is at most one row per task, repertoire and k-mer; the shuffle key spreads both a huge
     repertoire and a very common k-mer.
     """
     occurrences = explode_kmers(sequences, k_list, keep=list(by), sequence_col=sequence_col)
+    if vocab is not None:
+        occurrences = lookup_join(occurrences.select(*by, "k", "kmer"), vocab.select("kmer"), ["kmer"], "left_semi")
     return occurrences.groupBy(*by, "k", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -135,13 +139,18 @@ def top_variance(variances: DataFrame, n: int) -> DataFrame:
     return variances.orderBy(F.desc("variance"), F.asc("k"), F.asc("kmer")).limit(n)
 
 
-def feature_drift(train_vocab: DataFrame, test_counts: DataFrame) -> DataFrame:
-    """Features on one side only: ``missing`` in the test data or ``extra`` to the training vocabulary."""
-    train = train_vocab.select("k", "kmer").distinct()
-    test = test_counts.select("k", "kmer").distinct()
-    missing = train.join(test, ["k", "kmer"], "left_anti").withColumn("drift", F.lit("missing"))
-    extra = test.join(train, ["k", "kmer"], "left_anti").withColumn("drift", F.lit("extra"))
-    return missing.unionByName(extra)
+def feature_drift(sequences: DataFrame, train: str, k_list: Iterable[int], min_count: int = 1) -> DataFrame:
+    """Features on one side only: ``missing`` in the test data or ``extra`` to the training vocabulary.
+
+    ``train`` names a boolean column of the sequences. Both sides are counted in one pass: a feature is of the
+    training vocabulary if training sequences hold it ``min_count`` times.
+    """
+    found = explode_kmers(sequences, k_list, keep=[train]).groupBy("k", "kmer").agg(
+        F.count_if(F.col(train)).alias("__train"), F.count_if(~F.col(train)).alias("__test")
+    )
+    known = F.col("__train") >= min_count
+    drift = F.when(known & (F.col("__test") == 0), "missing").when(~known & (F.col("__test") > 0), "extra")
+    return found.select("k", "kmer", drift.alias("drift")).where("drift is not null")
 
 
 def combine_blocks(blocks: dict[str, DataFrame]) -> DataFrame:

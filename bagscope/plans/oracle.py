@@ -334,6 +334,14 @@ SQL |= {
   CASE WHEN length(p_type) % 5 <> 0 THEN p_type END AS v_call, p_size::VARCHAR AS j_call, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
+    "metadata_labels": """SELECT c_custkey::VARCHAR AS repertoire_id, c_mktsegment = 'BUILDING' AS label_positive,
+  (c_mktsegment = 'BUILDING')::INT AS label, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::INT ELSE -1 END AS age FROM customer""",
+    "full_dataset": """SELECT c_custkey::VARCHAR AS ID, c_mktsegment = 'BUILDING' AS label_positive, count(*) AS n_rows,
+  count(DISTINCT p_type) AS n_v_calls
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
+    "labelled_features": f"WITH {_kmers(3)} SELECT repertoire_id, kmer, cnt, quality AS label FROM counts "
+    "JOIN labels ON doc_id = repertoire_id",
     "feature_store_roundtrip": f"WITH {_kmers(3)} SELECT lang AS dataset, count(*) AS n_rows, "
     "sum(cnt)::BIGINT AS n_kmers FROM counts JOIN documents ON doc_id = repertoire_id GROUP BY lang",
     "submission_roundtrip": SQL["union_submission"],

@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.feature import VectorSlicer
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def _train_counts(spark, sf_dir, k_list):
 def kmer_align_test(spark, sf_dir):
     """Test counts restricted to the pruned training vocabulary."""
     vocab = materialize(km.vocabulary(km.total_counts(tables.sequences(spark, sf_dir, "train"), [3, 4]), MIN_COUNT))
-    return km.align(km.kmer_counts(tables.sequences(spark, sf_dir, "test"), [3, 4]), vocab)
+    return km.kmer_counts(tables.sequences(spark, sf_dir, "test"), [3, 4], vocab=vocab).select("kmer", "repertoire_id", "k", "cnt")
 
 
 @query
@@ -129,9 +131,7 @@ def kmer_zero_filled(spark, sf_dir):
 
 @query
 def kmer_feature_drift(spark, sf_dir):
-    train = km.total_counts(tables.sequences(spark, sf_dir, "train"), [3, 4])
-    test = km.total_counts(tables.sequences(spark, sf_dir, "test"), [3, 4])
-    return km.feature_drift(km.vocabulary(train, MIN_COUNT), test)
+    return km.feature_drift(tables.flagged_sequences(spark, sf_dir), "train", [3, 4], MIN_COUNT)
 
 
 @query
@@ -230,11 +230,12 @@ def clone_strongest(spark, sf_dir):
 
 @query
 def clone_matrix(spark, sf_dir):
-    """Which selected clones each document holds, train and test alike."""
-    presence = materialize(cl.clone_presence(tables.sequences(spark, sf_dir)))
+    """Which selected clones each document holds, train and test alike; statistics take the labelled ones alone."""
     labels = tables.labels(spark, sf_dir)
+    presence = cl.clone_presence(tables.sequences(spark, sf_dir, "train"))
     stats = cl.clone_stats(cl.clone_counts(presence, labels), labels)
-    return cl.clone_matrix(presence, materialize(cl.index_clones(cl.kept_clones(stats))))
+    chosen = materialize(cl.index_clones(cl.kept_clones(stats)))
+    return cl.clone_matrix(tables.sequences(spark, sf_dir), chosen)
 
 
 @query
@@ -599,6 +600,41 @@ def tsv_roundtrip(spark, sf_dir):
     return read.groupBy("dataset", *CLONE).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _customer_metadata(spark, sf_dir):
+    """Metadata of customers, written as a CSV file and read back: the file name is the key where no id is given."""
+    customers = tables.table(spark, sf_dir, "customer")
+    path = _scratch(spark, "metadata")
+    customers.select(
+        F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("repertoire_id"),
+        F.concat(F.col("c_custkey").cast("string"), F.lit(".tsv")).alias("filename"),
+        F.initcap((F.col("c_mktsegment") == "BUILDING").cast("string")).alias("label_positive"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("unknown").alias("age"),
+    ).write.csv(path, header=True)
+    return rp.read_metadata(spark, path, labelled=True)
+
+
+@query
+def metadata_labels(spark, sf_dir):
+    """Keys, labels and ages of a metadata file; -1 for an age that can't be read."""
+    age = F.coalesce("age", F.lit(-1)).alias("age")
+    return _customer_metadata(spark, sf_dir).select("repertoire_id", "label_positive", "label", age)
+
+
+@query
+def full_dataset(spark, sf_dir):
+    """All clones bought with the id and the label of their customer, counted; customers without orders drop out."""
+    sequences = tables.customer_parts(spark, sf_dir).withColumn("repertoire_id", F.col("repertoire_id").cast("string"))
+    full = rp.full_dataset(sequences, materialize(_customer_metadata(spark, sf_dir)))
+    return full.groupBy("ID", "label_positive").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("v_call").alias("n_v_calls"))
+
+
+@query
+def labelled_features(spark, sf_dir):
+    """3-mer counts of the labelled documents, each with its label."""
+    counts = km.kmer_counts(tables.sequences(spark, sf_dir, "train"), [3])
+    return rp.with_label(materialize(counts), tables.labels(spark, sf_dir)).select("repertoire_id", "kmer", "cnt", "label")
+
+
 @query
 def feature_store_roundtrip(spark, sf_dir):
     """3-mer counts kept per language: the second request computes only what the first left out."""
@@ -607,8 +643,7 @@ def feature_store_roundtrip(spark, sf_dir):
 
     def build(datasets):
         held = sequences.where(F.col("v_call").isin(datasets))
-        language = held.select("repertoire_id", F.col("v_call").alias("dataset")).distinct()
-        return km.kmer_counts(held, [3]).join(language, "repertoire_id")
+        return km.kmer_counts(held.withColumn("dataset", F.col("v_call")), [3], by=("dataset", "repertoire_id"))
 
     store.ensure("kmers", ["de", "en"], build)
     kept = store.ensure("kmers", ["de", "en", "es", "fr"], build)
@@ -632,7 +667,7 @@ def submission_roundtrip(spark, sf_dir):
 
 def _kmer_vectors(spark, sf_dir, config=STANDARD):
     """Stored fold vectors of the labelled documents and the features behind them."""
-    counts = materialize(km.kmer_counts(tables.sequences(spark, sf_dir), config.k_list))
+    counts = materialize(km.kmer_counts(tables.sequences(spark, sf_dir, "train"), config.k_list))
     folds = materialize(fo.stratified_folds(tables.labels(spark, sf_dir)))
     features = pl.fit_kmer_features(counts, folds, config)
     return materialize(features.vectors(counts, folds)), features
@@ -656,9 +691,9 @@ def baseline_classifier(spark, sf_dir):
 
 @query
 def kmer_c_grid(spark, sf_dir):
-    """Mean AUC over five folds for two regularisation strengths."""
+    """Mean AUC over five folds for every regularisation strength of the grid."""
     vectors, _ = _kmer_vectors(spark, sf_dir)
-    return tr.search_c(vectors, [0.1, 0.05])[1]
+    return tr.search_c(vectors, STANDARD.c_grid)[1]
 
 
 @query
@@ -687,7 +722,7 @@ def clone_holdout(spark, sf_dir):
 @query
 def stacked_oof(spark, sf_dir):
     """Stacked k-mer and clone models: meta-learner weights, AUCs and the weights finally used."""
-    config = replace(STANDARD, families=("kmer", "clone"), c_grid=(0.1,))
+    config = replace(STANDARD, families=("kmer", "clone"))
     fitted = pl.fit(materialize(tables.sequences(spark, sf_dir)), tables.labels(spark, sf_dir), config)
     return fitted.report["weights"]
 
@@ -710,36 +745,30 @@ def _labelled_vectors(spark, sf_dir):
     return materialize(vectors.join(folds.select("repertoire_id", "fold"), "repertoire_id"))
 
 
-# Sizes for a quick pass over all classifiers; the library's defaults are larger.
-QUICK = {
-    "RandomForest_shallow": dict(numTrees=20), "ExtraTrees_shallow": dict(numTrees=20),
-    "GradientBoosting": dict(maxIter=10), "AdaBoost": dict(rounds=5),
-    "SVM_Linear": dict(parts=2, maxIter=10), "SVM_RBF": dict(parts=2, maxIter=10, numFeatures=200),
-}
-
-
 @query
 def classifier_zoo(spark, sf_dir):
-    """Hold-out AUC of every classifier on the embeddings."""
+    """Hold-out AUC of every classifier on the embeddings; the fits are independent and run side by side."""
     vectors = _labelled_vectors(spark, sf_dir)
-    out = None
-    for name in [n for n in zoo.NAMES if n != "SVC_rbf"]:
-        model = zoo.scaled(name, **QUICK.get(name, {})).fit(vectors.where("fold <> 0"))
-        scored = vc.score_with(model, vectors.where("fold = 0")).select(F.lit(name).alias("model"), "label", "score")
-        out = scored if out is None else out.unionByName(scored)
-    return me.roc_auc(materialize(out), by=["model"])
+
+    def scored(name):
+        model = zoo.scaled(name).fit(vectors.where("fold <> 0"))
+        return vc.score_with(model, vectors.where("fold = 0")).select(F.lit(name).alias("model"), "label", "score")
+
+    names = [n for n in zoo.NAMES if n != "SVC_rbf"]  # the same machine as SVM_RBF
+    with ThreadPool(len(names)) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(scored), names)
+    return me.roc_auc(materialize(reduce(DataFrame.unionByName, parts)), by=["model"])
 
 
 @query
 def embedding_grid(spark, sf_dir):
-    """Cross-validated AUC of two classifiers on two halves of the embedding."""
-    vectors = _labelled_vectors(spark, sf_dir)
-    halves = {
-        f"half_{i}": materialize(VectorSlicer(inputCol="features", outputCol="half", indices=list(range(32 * i, 32 * i + 32)))
-        .transform(vectors).drop("features").withColumnRenamed("half", "features"))
-        for i in (0, 1)
-    }
-    return tr.search_embeddings(halves, ["LogReg_L2", "GaussianNB"])
+    """Cross-validated AUC of the configured models on every pooling variant of the documents' embeddings."""
+    labels = tables.labels(spark, sf_dir)
+    folds = materialize(fo.stratified_folds(labels))
+    embeddings = encoder.embed_sequences(tables.sequences(spark, sf_dir, "train"))
+    variants = pl.embedding_variants(embeddings, STANDARD.embedding_variants)
+    joined = {name: materialize(folds.join(vectors, "repertoire_id")) for name, vectors in variants.items()}
+    return tr.search_embeddings(joined, STANDARD.embedding_models)
 
 
 @query
@@ -748,26 +777,25 @@ def nested_search(spark, sf_dir):
     vectors = _labelled_vectors(spark, sf_dir)
     inner = fo.stratified_folds(vectors.select("repertoire_id", "label"), 3, seed=7)
     nested = materialize(vectors.join(inner.select("repertoire_id", F.col("fold").alias("inner_fold")), "repertoire_id"))
-    return tr.nested_search(nested, [1.0, 0.1])
+    return tr.nested_search(nested)
 
 
 @query
 def blend_benchmark(spark, sf_dir):
     """AUC per fold of the kernel model, the k-mer model and their 0.8 / 0.2 blend."""
-    config = replace(CONFIGS["8"], n_folds=3)
-    sequences = materialize(tables.sequences(spark, sf_dir))
+    config = CONFIGS["8"]
+    sequences = materialize(tables.sequences(spark, sf_dir, "train"))
     labels = materialize(tables.labels(spark, sf_dir))
     counts = materialize(km.kmer_counts(sequences, config.k_list))
     vectors = pl.embedding_variants(encoder.embed_sequences(sequences), ("max_std",))["max_std"]
-    folds = materialize(fo.stratified_folds(labels, 3))
-    quick = {"SVM_RBF": dict(parts=2, maxIter=10, numFeatures=200)}
-    return pl.blend_benchmark(counts, materialize(vectors), folds, config, quick)
+    folds = materialize(fo.stratified_folds(labels))
+    return pl.blend_benchmark(counts, materialize(vectors), folds, config)
 
 
 @query
 def pipeline_predictions(spark, sf_dir):
     """Predictions and important sequences of a k-mer pipeline, saved, loaded and put in result form."""
-    config = replace(CONFIGS["4"], c_grid=(0.1,), top_k=1000)
+    config = CONFIGS["4"]
     sequences = materialize(tables.sequences(spark, sf_dir))
     labels = tables.labels(spark, sf_dir)
     path = _scratch(spark, "model")

@@ -28,13 +28,25 @@ def sequences(spark: SparkSession, sf_dir: str, part: str | None = None) -> Data
     if part is not None:
         listed = table(spark, sf_dir, "labels").select("doc_id")
         texts = lookup_join(texts, listed, ["doc_id"], "left_semi" if part == "train" else "left_anti")
+    return _tokens(texts)
+
+
+def flagged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences with ``train``, true for those of labelled documents."""
+    listed = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("train")).distinct()
+    texts = lookup_join(documents(spark, sf_dir), listed, ["doc_id"], "left")
+    return _tokens(texts.withColumn("train", F.coalesce("train", F.lit(False))), "train")
+
+
+def _tokens(texts: DataFrame, *keep: str) -> DataFrame:
     tokens = texts.select(
         F.col("doc_id").alias("repertoire_id"),
         F.explode(F.split("text", TOKEN_SEPARATOR)).alias("junction_aa"),
         F.col("lang").alias("v_call"),
+        *keep,
     )
     return tokens.where(F.col("junction_aa") != "").select(
-        "repertoire_id", "junction_aa", "v_call", F.right("junction_aa", F.lit(1)).alias("j_call")
+        "repertoire_id", "junction_aa", "v_call", F.right("junction_aa", F.lit(1)).alias("j_call"), *keep
     )
 
 

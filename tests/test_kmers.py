@@ -92,6 +92,14 @@ def test_frequencies_and_variance_count_zeros(spark, tiny, tiny_labels):
 
 
 def test_feature_drift(spark):
-    train = spark.createDataFrame([(3, "AAA"), (3, "CCC")], "k int, kmer string")
-    test = spark.createDataFrame([(3, "CCC"), (3, "DDD")], "k int, kmer string")
-    assert {tuple(r) for r in km.feature_drift(train, test).collect()} == {(3, "AAA", "missing"), (3, "DDD", "extra")}
+    rows = [("AAA", True), ("AAA", True), ("CCC", True), ("CCC", True), ("CCC", False), ("DDD", False), ("EEE", True), ("EEE", False), (None, True), ("FFF", True)]
+    sequences = spark.createDataFrame(rows, "junction_aa string, train boolean")
+    got = {tuple(r) for r in km.feature_drift(sequences, "train", [3], 2).collect()}
+    assert got == {(3, "AAA", "missing"), (3, "DDD", "extra"), (3, "EEE", "extra")}
+
+
+def test_counting_within_a_vocabulary_equals_aligning(spark, tiny):
+    vocab = km.vocabulary(km.kmer_counts(tiny, [3, 4]), 2)
+    inside = {tuple(r) for r in km.kmer_counts(tiny, [3, 4], vocab=vocab).select("repertoire_id", "kmer", "cnt").collect()}
+    aligned = {tuple(r) for r in km.align(km.kmer_counts(tiny, [3, 4]), vocab).select("repertoire_id", "kmer", "cnt").collect()}
+    assert inside == aligned and inside
