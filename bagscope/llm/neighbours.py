@@ -182,8 +182,7 @@ def exact(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -
         if best is not None and len(best):
             yield pa.RecordBatch.from_pandas(best[["query_id", "vec_id", "score"]], preserve_index=False)
 
-    found = rows.mapInArrow(mapped, SCORED).toPandas()  # queries x k x tasks
-    return _best(found, k) if len(found) else found
+    return ranked(rows.mapInArrow(mapped, SCORED), k).select("query_id", "vec_id", "score").toPandas()  # queries x k
 
 
 def calibrate(tree: Tree, rows: DataFrame, probes: pd.DataFrame, settings: Settings) -> int:
