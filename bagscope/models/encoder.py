@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark import cloudpickle
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bagscope.functions.text import truncate_for_encoder
+from bagscope.functions.text import MAX_TOKENS, truncate_for_encoder
 from bagscope.operators.joins import lookup_join
 from bagscope.session import materialize
 
@@ -57,14 +57,15 @@ def hashed_residue_encoder(width: int = 32) -> Encoder:
 
 
 def embed_distinct(
-    sequences: DataFrame, make_encoder: Callable[[], Encoder] = hashed_residue_encoder, batch_size: int = BATCH_SIZE
+    sequences: DataFrame, make_encoder: Callable[[], Encoder] = hashed_residue_encoder, batch_size: int = BATCH_SIZE,
+    max_tokens: int = MAX_TOKENS,
 ) -> DataFrame:
     """(encoder_input, cls, mean, max) for every distinct sequence, cut to the encoder's limit.
 
     ``make_encoder`` runs once per Python worker, so a model is loaded there and nowhere else.
     """
     inputs = sequences.where(F.col("junction_aa").isNotNull()).select(
-        truncate_for_encoder(F.col("junction_aa")).alias("encoder_input")
+        truncate_for_encoder(F.col("junction_aa"), max_tokens).alias("encoder_input")
     )
     infer = predict_batch_udf(make_encoder, return_type=VECTORS, batch_size=batch_size)
     embedded = inputs.distinct().withColumn("v", infer("encoder_input"))
@@ -72,11 +73,18 @@ def embed_distinct(
 
 
 def embed_sequences(
-    sequences: DataFrame, make_encoder: Callable[[], Encoder] = hashed_residue_encoder, batch_size: int = BATCH_SIZE
+    sequences: DataFrame, make_encoder: Callable[[], Encoder] = hashed_residue_encoder, batch_size: int = BATCH_SIZE,
+    by: Sequence[str] = ("repertoire_id",), max_tokens: int = MAX_TOKENS,
 ) -> DataFrame:
-    """One row per non-null sequence with its vectors; each distinct text is embedded once."""
+    """(by .., copies, cls, mean, max): the vectors of each distinct input of a repertoire and how often it occurs.
+
+    Each distinct text is embedded once, and vectors are joined to counted inputs, not to every occurrence;
+    pool them with ``copies``. Null sequences have no vectors.
+    """
     keyed = sequences.where(F.col("junction_aa").isNotNull()).withColumn(
-        "encoder_input", truncate_for_encoder(F.col("junction_aa"))
+        "encoder_input", truncate_for_encoder(F.col("junction_aa"), max_tokens)
     )
-    vectors = materialize(embed_distinct(sequences, make_encoder, batch_size))
-    return lookup_join(keyed, vectors, ["encoder_input"]).drop("encoder_input")
+    counted = materialize(keyed.groupBy(*by, "encoder_input").agg(F.count(F.lit(1)).alias("copies")))
+    texts = counted.select(F.col("encoder_input").alias("junction_aa"))
+    vectors = materialize(embed_distinct(texts, make_encoder, batch_size, max_tokens))
+    return lookup_join(counted, vectors, ["encoder_input"]).drop("encoder_input")

@@ -13,9 +13,11 @@ POOLINGS = ["mean", "max", "min", "sum", "std", "mean_std"]
 
 
 def pool_bags(vectors: DataFrame, poolings: Iterable[str] = POOLINGS, by: Sequence[str] = ("repertoire_id",),
-              vector_col: str = "vector") -> DataFrame:
+              vector_col: str = "vector", copies: str | None = None) -> DataFrame:
     """Element-wise mean, max, min, sum, population std and mean‖std of each bag, in one pass.
 
+    ``copies`` names a column that says how often a row counts, for bags whose equal rows were combined.
+
     One fixed-size buffer per bag and task is combined before the shuffle, so vectors themselves are never
     shuffled or exploded and a bag with a third of all rows is no heavier than any other.
     """
@@ -26,11 +28,14 @@ def pool_bags(vectors: DataFrame, poolings: Iterable[str] = POOLINGS, by: Sequen
     needed = {"mean": "mean", "max": "max", "min": "min", "sum": "sum", "std": "std"}
     metrics = {needed[p] for p in wanted if p in needed} | ({"mean", "std"} if "mean_std" in wanted else set())
     vector = array_to_vector(F.col(vector_col).cast("array<double>"))
+    weight = F.lit(1.0) if copies is None else F.col(copies).cast("double")
     summary = vectors.groupBy(*by).agg(
-        Summarizer.metrics(*sorted(metrics | {"count"})).summary(vector).alias("s")
+        Summarizer.metrics(*sorted(metrics | {"count"})).summary(vector, weight).alias("s"),
+        F.sum(weight).alias("__w"),
+        F.sum(weight * weight).alias("__squares"),
     )
-    n = F.col("s.count").cast("double")
-    population = F.sqrt((n - 1) / n)
+    w = F.col("__w")
+    population = F.sqrt(F.greatest(w - F.col("__squares") / w, F.lit(0.0)) / w)  # (n - 1) / n for single copies
 
     def array(metric: str) -> Column:
         values = vector_to_array(F.col(f"s.{metric}"))

@@ -57,10 +57,10 @@ class DatasetFeatures:
         make_encoder: Callable[[], Encoder] = hashed_residue_encoder,
         name: str = "embeddings",
     ) -> DataFrame:
-        """Vectors of every sequence; give each encoder its own ``name``."""
+        """Vectors and copies of every distinct sequence of a repertoire; give each encoder its own ``name``."""
 
         def build(missing: list[str]) -> DataFrame:
-            return embed_sequences(self.sequences(missing), make_encoder).select(*KEYS, "cls", "mean", "max")
+            return embed_sequences(self.sequences(missing), make_encoder, by=KEYS)
 
         return self.store.ensure(name, self._names(datasets), build)
 
@@ -75,6 +75,6 @@ class DatasetFeatures:
 
         def build(missing: list[str]) -> DataFrame:
             vectors = self.embeddings(missing, make_encoder, name)
-            return pool_bags(vectors, POOLINGS, by=KEYS, vector_col=token_pool)
+            return pool_bags(vectors, POOLINGS, by=KEYS, vector_col=token_pool, copies="copies")
 
         return self.store.ensure(f"{name}_pooled_{token_pool}", self._names(datasets), build)

@@ -79,7 +79,8 @@ def embedding_variants(embeddings: DataFrame, names: tuple[str, ...] | None = No
         wanted = [b for b in BAG_POOLINGS if names is None or f"{token_pool}_{b}" in names]
         if not wanted:
             continue
-        pooled = materialize(pool_bags(embeddings.select(ID, F.col(token_pool).alias("vector")), wanted))
+        copies = F.col("copies") if "copies" in embeddings.columns else F.lit(1).alias("copies")
+        pooled = materialize(pool_bags(embeddings.select(ID, F.col(token_pool).alias("vector"), copies), wanted, copies="copies"))
         for bag_pool in wanted:
             out[f"{token_pool}_{bag_pool}"] = dense_vectors(pooled.select(ID, bag_pool), bag_pool)
     return out

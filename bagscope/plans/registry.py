@@ -731,7 +731,7 @@ def stacked_oof(spark, sf_dir):
 def encoded_bags(spark, sf_dir):
     """Every document's tokens embedded (each distinct token once) and pooled."""
     vectors = encoder.embed_sequences(tables.sequences(spark, sf_dir))
-    pooled = po.pool_bags(vectors.select("repertoire_id", F.col("max").alias("vector")), ["mean_std"])
+    pooled = po.pool_bags(vectors, ["mean_std"], vector_col="max", copies="copies")
     return po.long_vector(pooled, "mean_std")
 
 

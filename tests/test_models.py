@@ -143,9 +143,25 @@ def test_encoder_embeds_each_text_once(spark):
     rows = [("a", "CASSF"), ("b", "CASSF"), ("b", None), ("b", "C" * 50), ("c", "C" * 45)]
     sequences = spark.createDataFrame(rows, "repertoire_id string, junction_aa string")
     assert embed_distinct(sequences).count() == 2  # the long ones agree within the token limit
-    got = embed_sequences(sequences).collect()
-    assert sorted((r["repertoire_id"], r["junction_aa"]) for r in got) == sorted(r for r in rows if r[1])
+    again = sequences.unionByName(sequences.where("repertoire_id = 'a'"))
+    got = embed_sequences(again).collect()
+    assert sorted((r["repertoire_id"], r["copies"]) for r in got) == [("a", 2), ("b", 1), ("b", 1), ("c", 1)]
+    assert embed_distinct(sequences, max_tokens=60).count() == 3
     expected = hashed_residue_encoder()(np.array(["CASSF"], dtype=object))
-    row = next(r for r in got if r["junction_aa"] == "CASSF")
+    row = next(r for r in got if r["repertoire_id"] == "a")
     for name in ("cls", "mean", "max"):
         assert np.allclose(row[name], expected[name][0])
+
+
+def test_pooling_with_copies_equals_pooling_of_all_rows(spark):
+    from bagscope.operators.pooling import POOLINGS, pool_bags
+
+    rows = [("a", [1.0, 4.0], 3), ("a", [3.0, 0.0], 1), ("b", [2.0, 2.0], 5)]
+    once = spark.createDataFrame(rows, "repertoire_id string, vector array<double>, copies long")
+    every = once.withColumn("copies", F.explode(F.array_repeat("copies", F.col("copies").cast("int"))))
+    got = {r[0]: r[1:] for r in pool_bags(once, copies="copies").collect()}
+    want = {r[0]: r[1:] for r in pool_bags(every).collect()}
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        for name, g, w in zip(POOLINGS, got[key], values):
+            assert np.allclose(g, w), (key, name)
