@@ -15,13 +15,14 @@ from bagscope.llm.ngrams import grams, letters, slices
 from bagscope.session import materialize
 
 SIZES = (3, 4, 5)
+_PART = 100_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """``per_class`` and ``max_chars`` bound the training sample; scoring has no bound."""
 
-    per_class: int = 2500
+    per_class: int = 2000
     max_chars: int = 50_000
     bits: int = 17
     width: int = 8
@@ -87,37 +88,39 @@ def train(texts: list[str | None], toxic: list[int], settings: Settings = Settin
     start = float(np.log(share / (1 - share)))
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << settings.bits, np.float32), start, settings.bits)
-    ids_of: dict[bytes, int] = {}
-    gram_ids: list[np.ndarray] = []
+    ids_of: dict[bytes, int] = {}  # the n-grams of each different word, in the order they are met
     owners, members = [], []
     for i, text in enumerate(texts):
         mine = set()
         for codes in slices(letters(text or "")):
             ids, counts = _words(codes, settings.bits)
-            for part in np.split(ids.astype(np.int32), np.cumsum(counts)[:-1]) if len(counts) else ():
-                key = part.tobytes()
-                word = ids_of.get(key)
-                if word is None:
-                    word = ids_of[key] = len(gram_ids)
-                    gram_ids.append(part)
-                mine.add(word)
-        mine = [w for w in sorted(mine) if len(gram_ids[w])]
+            packed, ends = ids.astype(np.int32).tobytes(), np.cumsum(counts) * 4
+            for end, n in zip(ends.tolist(), counts.tolist()):
+                if n:
+                    mine.add(ids_of.setdefault(packed[end - 4 * n : end], len(ids_of)))
         owners.append(np.full(len(mine), i, np.int32))
-        members.append(np.array(mine, np.int32))
+        members.append(np.array(sorted(mine), np.int32))
     owner, member = np.concatenate(owners), np.concatenate(members)
-    lengths = np.array([max(1, len(g)) for g in gram_ids])
-    flat = np.concatenate([g if len(g) else np.zeros(1, np.int32) for g in gram_ids])
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    if not len(member):
+        return Model(np.zeros(1 << settings.bits, np.float32), start, settings.bits)
+    lengths = np.fromiter((len(k) // 4 for k in ids_of), np.int64, len(ids_of))
+    flat = np.frombuffer(b"".join(ids_of), np.int32)
     del ids_of
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    parts = [(a, min(a + _PART, len(lengths))) for a in range(0, len(lengths), _PART)]  # few words at a time bound what is held
 
     def word_means(values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values[flat], begins) / lengths
+        out = np.empty(len(lengths), np.float32)
+        for a, b in parts:
+            out[a:b] = np.add.reduceat(values[flat[begins[a] : begins[b]]], begins[a:b] - begins[a]) / lengths[a:b]
+        return out
 
     size = 1 << settings.bits
     seen = np.zeros((2, size))
     for label in (0, 1):
-        chosen = np.bincount(member[y[owner] == label], minlength=len(lengths)).astype(float)
-        seen[label] = np.bincount(flat, np.repeat(chosen, lengths), size)
+        chosen = np.bincount(member[y[owner] == label], minlength=len(lengths)).astype(np.float32)
+        for a, b in parts:
+            seen[label] += np.bincount(flat[begins[a] : begins[b]], np.repeat(chosen[a:b], lengths[a:b]), size)
     odds = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / ((1 - y).sum() + 2))
     rng = np.random.default_rng(settings.seed)
     vectors = rng.normal(0, 0.1, (size, settings.width)).astype(np.float32)
