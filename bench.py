@@ -14,7 +14,7 @@ HEADLINE = [
     "kmer_feature_drift", "kmer_freq_norm", "kmer_top_variance", "clone_presence", "clone_counts", "clone_fisher",
     "clone_selected", "clone_selected_customers", "clone_matrix", "pool_mean_std", "pool_tokens_mean",
     "dataset_type_cv", "stratified_folds", "roc_auc", "importance_distinct", "importance_baseline", "top_sequences",
-    "feature_store_roundtrip", "union_submission",
+    "feature_store_roundtrip", "union_submission", "tsv_roundtrip",
 ]
 
 
@@ -24,7 +24,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
 
     from bagscope.plans.registry import QUERIES
-    from bagscope.session import local_session
+    from bagscope.session import local_session, release
 
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="bagscope-bench")
     QUERIES["class_weights"](spark, sf_dir).collect()  # start-up of the session is not a query's time
@@ -42,6 +42,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(result))
+    release(spark)
     spark.stop()
 
 
