@@ -59,6 +59,34 @@ TEXT_RULES = [
     ("GPL-3.0", ["gpl-grant-3", "gpl-warranty"]),
     ("GPL-2.0", ["gpl-grant-2", "gpl-warranty"]),
 ]
+# The parts that SENTENCE_END cuts the usual notices into, normalised. Notices differ in their marks ("free
+# software: you", "free software; you"; "Foundation, either", "Foundation; either"), so whole and cut ones stand here. Within
+# comments a line of nothing but the comment's mark is no blank line, and the address stays between two sentences.
+_APACHE_AT = [f"{SENTENCES['apache-copy']} {scheme} www apache org licenses license 2 0" for scheme in ("http", "https")]
+_GPL_FREE, _GPL_TERMS = "this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GPL_VERSION = "either version {} of the license or at your option any later version"
+PARTS = {
+    "licensed under the apache license version 2 0 the license": "apache-grant:1",
+    "you may not use this file except in compliance with the license": "apache-grant:2",
+    **{at: "apache-copy" for at in _APACHE_AT},
+    **{f"{at} {SENTENCES['apache-as-is']}": "apache-copy-as-is" for at in _APACHE_AT},
+    _GPL_TERMS: "gpl-terms",
+    f"{_GPL_FREE} {_GPL_TERMS}": "gpl-terms",
+    **{_GPL_VERSION.format(n): f"gpl-version-{n}" for n in "23"},
+    **{f"{_GPL_TERMS} {_GPL_VERSION.format(n)}": f"gpl-terms-{n}" for n in "23"},
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty:1",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty:2",
+}
+
+# The ordered rules over whole and cut notices: each way to write a grant before each way to write what follows.
+PART_RULES = [
+    ("Apache-2.0", grant + rest)
+    for grant, rest in product((["apache-grant"], ["apache-grant:1", "apache-grant:2"]), (["apache-copy", "apache-as-is"], ["apache-copy-as-is"]))
+] + [
+    (f"GPL-{n}.0", grant + rest)
+    for n in "32"
+    for grant, rest in product(([f"gpl-grant-{n}"], [f"gpl-terms-{n}"], ["gpl-terms", f"gpl-version-{n}"]), (["gpl-warranty"], ["gpl-warranty:1", "gpl-warranty:2"]))
+]
 #: Where the first of these rules holds, the second, a part of it, is not reported.
 COVERS = [("BSD-3-Clause", "BSD-2-Clause")]
 
@@ -97,7 +125,7 @@ def sentence_ids(text: Column) -> Column:
     A sentence ends at a stop before white space or at a blank line. One that is not known is looked up
     again line by line, for texts whose lines are sentences without a stop.
     """
-    table = F.create_map(*[F.lit(x) for pair in sorted(known_sentences().items()) for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in sorted((known_sentences() | PARTS).items()) for x in pair])
     lookup = lambda s: F.try_element_at(table, normalised(s))
     by_sentence = F.transform(
         F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(TRIGGER)),
@@ -118,7 +146,7 @@ def scan(documents: DataFrame) -> DataFrame:
     found = own.withColumn("sentence_ids", sentence_ids(F.coalesce(F.col("text"), F.lit(""))))
     found = found.withColumn("_sequence", F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|")))
     held = {}
-    for licence, ids in rules():
+    for licence, ids in rules() + PART_RULES:
         test = F.col("_sequence").rlike(rule_pattern(ids))
         held[licence] = held[licence] | test if licence in held else test
     for larger, smaller in COVERS:

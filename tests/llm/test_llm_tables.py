@@ -102,6 +102,42 @@ def test_licence_rules(spark, odd):
     assert licences.scan(odd).count() == odd.count() and licences.licences(odd.limit(0)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_punctuated_notices(spark):
+    def comment(text):
+        return "".join(f"# {line}".rstrip() + "\n" for line in ("Copyright 2020 Somebody\n\n" + text).split("\n"))
+
+    notices = [(APACHE, "Apache-2.0"), (GPL.format(":", ",", 3), "GPL-3.0"), (GPL.format(";", ";", 2), "GPL-2.0"), (GPL.format(";", ",", 2), "GPL-2.0")]
+    cases = [(shape(text), licence) for text, licence in notices for shape in (str, comment, lambda t: " ".join(t.split()), lambda t: f"Some words. {t} Others.")]
+    first = APACHE.split("You may")[0]
+    cases += [(first, ""), (APACHE.replace(first, "") + first, ""), (GPL.format(":", ",", 3).split("This program is distributed")[0], ""), (GPL.format(":", ",", 4), "")]
+    got = {r.doc_id: r.licences for r in licences.licences(spark.createDataFrame(rows([c[0] for c in cases]), SCHEMA)).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
 # ---- mixing
 
 
