@@ -153,14 +153,15 @@ def detect(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def disclosing(documents: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """kind, entity, term and ``disclosure`` of the terms that reveal an entity beyond the threshold.
 
-    With N documents, n(e) contexts of the entity, d(t) documents of the term and n(e, t) contexts of both:
-    log(N n(e, t) / (n(e) d(t))) / log(N / n(e)). The contexts are counted over the entities of all documents,
-    the documents of a term over all texts.
+    With N documents, n(e) of them with the entity, d(t) with the term and n(e, t) with the term near the entity:
+    log(N n(e, t) / (n(e) d(t))) / log(N / n(e)). All four count documents, copies too; different contexts are
+    counted for the support only.
     """
-    near = found.where(F.size("terms") > 0).select(F.explode("terms").alias("t")).select("t.kind", "t.entity", "t.context", "t.term").distinct()
+    near = found.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.kind", "t.entity", "t.context", "t.term").distinct()
     near = materialize(near)
-    together = near.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= settings.support)
-    entities = near.select("kind", "entity", "context").distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
+    together = near.groupBy("kind", "entity", "term").agg(F.count_distinct("row").alias("n_both"), F.count_distinct("context").alias("contexts"))
+    together = together.where(F.col("contexts") >= settings.support).drop("contexts")
+    entities = near.select("kind", "entity", "row").distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
     together = materialize(together.join(entities, ["kind", "entity"]))
     if together.isEmpty():
         return together.select("kind", "entity", "term", F.lit(1.0).alias("disclosure"))

@@ -213,6 +213,15 @@ def test_copies_of_a_passage_are_one_context(spark):
     assert all(s.kind != "term" for r in got for s in r.spans)
 
 
+def test_copies_of_one_passage_do_not_hide_a_term(spark):
+    """Of four passages one stands in 100 documents: every document with the term holds the entity."""
+    passages = [f"{a} Zanzibarite wrote to jo.x@mail.example.com {b}" for a, b in zip(["Sun", "Moon", "Star", "Tree"], ["red", "blue", "dim", "old"])]
+    texts = passages + passages[:1] * 99 + [f"plain text {i}" for i in range(300)]
+    got = pii.sanitise(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert all(("term", "Zanzibarite") in [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in got if r.doc_id < 103)
+    assert all(not r.spans for r in got if r.doc_id >= 103)
+
+
 def test_personal_query_on_odd_rows(spark, odd):
     got = pii.personal_data(odd).collect()
     assert len(got) == odd.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
