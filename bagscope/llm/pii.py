@@ -1,14 +1,15 @@
 """Personal data: base patterns, and terms that disclose what they match by corpus co-occurrence.
 
-Base matches are the protected entities. Terms near them are measured against the whole corpus: the pointwise
-mutual information of a term and an entity, as a share of the entity's own information, tells how strongly the term
-reveals it. Terms beyond a threshold are marked, and generalised or removed with the entities.
+Base matches are the protected entities. The terms of their documents are measured against the whole corpus: the
+pointwise mutual information of a term and an entity, as a share of the entity's own information, tells how strongly
+the term reveals it. Terms beyond a threshold are marked in all texts, and generalised or removed with the entities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagscope.llm.base import small_batches
+from bagscope.operators.joins import lookup_join
 from bagscope.session import materialize
 
 # The kinds in their order.
@@ -32,8 +34,8 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class Settings:
-    """``window``: code points on either side of an entity whose words are its terms; ``support``: different
-    contexts that must show a term beside an entity; ``disclosure``: share of the entity's information from
+    """``window``: code points on either side of an entity whose words are its context; ``support``: different
+    contexts that must show a term with an entity; ``disclosure``: share of the entity's information from
     which a term is marked."""
 
     window: int = 80
@@ -106,86 +108,140 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int, str, int, int]]:
-    """(kind, entity, context, term, start, end) of the words around each entity, those inside spans left out.
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words of a text that touch no span, in order."""
+    cuts: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if cuts and a <= cuts[-1][1]:
+            cuts[-1][1] = max(b, cuts[-1][1])
+        else:
+            cuts.append([a, b])
+    out, k = [], 0
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        while k < len(cuts) and cuts[k][1] <= start:
+            k += 1
+        if k == len(cuts) or cuts[k][0] >= end:
+            out.append((m.group().lower(), start, end))
+    return out
+
+
+def _hash(words) -> int:
+    print_ = hashlib.blake2b("\x00".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(print_, "little", signed=True)
+
 
-    ``context`` is a hash of the words of the window: copies of a passage are one context.
+def occurrences(text: str, spans: list[tuple[str, int, int]], words: list[tuple[str, int, int]], window: int) -> list[dict]:
+    """For each entity of a text its contexts and ``near``, the (term, context) of the words in the window around it.
+
+    ``context`` is a hash of the words of the window: copies of a passage are one context. ``first`` is 1 for
+    one context of each term and 0 for the others, so that its sum counts the text once.
     """
-    out = []
+    starts, ends, found = [w[1] for w in words], [w[2] for w in words], {}
     for kind, a, b in spans:
         entity = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.+]", "", text[a:b])
-        low, high = max(0, a - window), min(len(text), b + window)
-        words = []
-        for m in _WORD.finditer(text, low, high):
-            cut = (m.start() == low and low > 0 and text[low - 1].isalpha()) or (m.end() == high and high < len(text) and text[high].isalpha())
-            if not cut and not any(m.start() < e and m.end() > s for _, s, e in spans):
-                words.append((m.group().lower(), m.start(), m.end()))
-        print_ = hashlib.blake2b("\x00".join(w for w, _, _ in words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        context = int.from_bytes(print_, "little", signed=True)
-        out += [(kind, entity, context, *w) for w in words]
+        near = [w for w, _, _ in words[bisect_left(starts, a - window) : bisect_right(ends, b + window)]]
+        contexts, pairs = found.setdefault((kind, entity), (set(), {}))
+        context = _hash(near)
+        contexts.add(context)
+        for term in near:
+            pairs[term, context] = None
+    out = []
+    for (kind, entity), (contexts, pairs) in found.items():
+        seen: set[str] = set()
+        near = [{"term": t, "context": c, "first": int(t not in seen and not seen.add(t))} for t, c in pairs]
+        out.append({"kind": kind, "entity": entity, "contexts": len(contexts), "near": near})
     return out
 
 
-CONTEXT = "kind: string, entity: string, context: bigint, term: string, start: int, end: int"
+NEAR = "array<struct<term: string, context: bigint, first: int>>"
+DETECTED = f"entities: array<struct<kind: string, entity: string, contexts: int, near: {NEAR}>>, words: array<string>, context: bigint"
 
 
 def detect(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, row (a number of the row), base (spans) and terms (the words around them) of every document."""
+    """entities (with the words in their windows), words (different ones outside the spans) and context (a hash of all words in order) of every document."""
     small_batches(documents.sparkSession)
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    term = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    near = pa.list_(pa.struct([("term", pa.string()), ("context", pa.int64()), ("first", pa.int32())]))
+    entity = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("contexts", pa.int32()), ("near", near)]))
 
     def mapped(batches):
         for batch in batches:
-            base, terms = [], []
+            entities, words, context = [], [], []
             for text in batch.column("text").to_pylist():
-                found = base_spans(text)
-                base.append([dict(zip(("kind", "start", "end"), x)) for x in found])
-                near = contexts(text, found, settings.window) if found else []
-                terms.append([dict(zip(("kind", "entity", "context", "term", "start", "end"), x)) for x in near])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(terms, term)], names=["doc_id", "base", "terms"])
+                spans = base_spans(text)
+                outside = words_outside(text or "", spans)
+                entities.append(occurrences(text, spans, outside, settings.window) if spans else [])
+                words.append(list(dict.fromkeys(w for w, _, _ in outside)))
+                context.append(_hash(w for w, _, _ in outside) if spans else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(entities, entity), pa.array(words, pa.list_(pa.string())), pa.array(context, pa.int64())], names=["entities", "words", "context"])
 
-    found = documents.select("doc_id", "text").mapInArrow(mapped, f"doc_id {kind}, base array<struct<kind: string, start: int, end: int>>, terms array<struct<{CONTEXT}>>")
-    return found.withColumn("row", F.monotonically_increasing_id())
+    return documents.select("text").mapInArrow(mapped, DETECTED)
 
 
-def disclosing(documents: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def disclosing(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """kind, entity, term and ``disclosure`` of the terms that reveal an entity beyond the threshold.
 
-    With N documents, n(e) of them with the entity, d(t) with the term and n(e, t) with the term near the entity:
-    log(N n(e, t) / (n(e) d(t))) / log(N / n(e)). All four count documents, copies too; different contexts are
-    counted for the support only.
+    With N documents, n(e) of them with the entity, d(t) with the term and n(e, t) with both, near or not:
+    log(N n(e, t) / (n(e) d(t))) / log(N / n(e)). All four count documents, copies too; a word within a span is no
+    term. Different contexts are counted for the support only: the window where the term is near the entity, else
+    all words of the document, so that copies of a passage or a document count once.
+
+    What can't reach the threshold is left out before terms and entities meet: entities of too few contexts,
+    and, as n(e, t) <= n(e), terms of more than N (n(e) / N) ** disclosure documents for the largest n(e).
     """
-    near = found.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.kind", "t.entity", "t.context", "t.term").distinct()
-    near = materialize(near)
-    together = near.groupBy("kind", "entity", "term").agg(F.count_distinct("row").alias("n_both"), F.count_distinct("context").alias("contexts"))
-    together = together.where(F.col("contexts") >= settings.support).drop("contexts")
-    entities = near.select("kind", "entity", "row").distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
-    together = materialize(together.join(entities, ["kind", "entity"]))
-    if together.isEmpty():
-        return together.select("kind", "entity", "term", F.lit(1.0).alias("disclosure"))
-    words = documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n_term"))  # summed before anything is joined
+    every = detect(documents, settings)
+    found = materialize(every.where(F.size("entities") > 0)).select(F.explode("entities").alias("e"), "words", "context")
+    found = found.select("e.kind", "e.entity", "e.contexts", "e.near", "words", "context")
+    entities = found.groupBy("kind", "entity").agg(F.count("*").alias("n_entity"), F.sum("contexts").alias("contexts"))
+    entities = materialize(entities.where(F.col("contexts") >= settings.support).drop("contexts"))
+    most = entities.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return entities.select("kind", "entity", F.lit("").alias("term"), F.lit(1.0).alias("disclosure"))
+    counted = every.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))  # summed before anything is joined
+    counted = materialize(counted)
     total = float(max(2, documents.count()))
-    n_term = F.greatest(F.coalesce("n_term", F.lit(1)), F.lit(1))
+    bound = total * (most / total) ** settings.disclosure * (1 + 1e-9)
+    common = counted.where(F.col("n_term") > bound).select("term")  # few: their sum is at most the words of all documents
+    live = lookup_join(found.drop("contexts"), entities.select("kind", "entity"), ["kind", "entity"])
+    far = F.transform(F.array_except("words", F.transform("near", lambda x: x["term"])), lambda t: F.struct(t.alias("term"), F.col("context").alias("context"), F.lit(1).alias("first")))
+    met = live.select("kind", "entity", F.explode(F.concat("near", far)).alias("t")).select("kind", "entity", "t.term", "t.context", "t.first")
+    met = met.join(F.broadcast(common), "term", "left_anti")
+    together = met.groupBy("kind", "entity", "term", "context").agg(F.sum("first").alias("n_both"))
+    together = together.groupBy("kind", "entity", "term").agg(F.sum("n_both").alias("n_both"), F.count("*").alias("contexts"))
+    together = together.where(F.col("contexts") >= settings.support).drop("contexts").join(entities, ["kind", "entity"])
     own = F.greatest(F.log(F.lit(total) / F.col("n_entity")), F.lit(1e-9))
-    share = F.log(F.lit(total) * F.col("n_both") / (F.col("n_entity") * n_term)) / own
-    return together.join(counted, "term", "left").select("kind", "entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= settings.disclosure)
+    share = F.log(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / own
+    return together.join(counted, "term").select("kind", "entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= settings.disclosure)
 
 
-def sanitise(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, base and all (arrays of spans) of every document: the base spans, and with them the marked terms.
+def sanitise(documents: DataFrame, settings: Settings = Settings(), generalise: bool = True) -> DataFrame:
+    """doc_id, base and spans (arrays of spans) and ``redacted`` text of every document.
 
-    Terms are marked within the window of the entity they reveal. A null or empty text has no spans; repeated
-    rows each get their own; an empty table gives none.
+    ``spans`` are the base spans, and after them every occurrence of a term that discloses an entity of the
+    corpus, in whichever text it stands. ``redacted`` has them replaced by their kind, or removed. The terms, a
+    part of the corpus' vocabulary, go to all tasks, so the texts are read once more and not shuffled. A null text
+    stays null and, like an empty one, has no spans; repeated rows each get their own; an empty table gives none.
     """
-    found = materialize(detect(documents, settings))
-    marked = disclosing(documents, found, settings)
-    terms = found.where(F.size("terms") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.kind", "t.entity", "t.term", "t.start", "t.end")
-    spans = terms.join(marked, ["kind", "entity", "term"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
-    extra = F.transform(F.coalesce("more", F.array().cast("array<struct<start: int, end: int>>")), lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("row", "doc_id", "base").join(spans, "row", "left").select("doc_id", "base", F.concat("base", extra).alias("spans"))
+    spark = documents.sparkSession
+    marked = spark.sparkContext.broadcast(frozenset(r.term for r in disclosing(documents, settings).select("term").distinct().toLocalIterator()))
+    small_batches(spark)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def mapped(batches):
+        terms = marked.value
+        for batch in batches:
+            base, spans, texts = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = base_spans(text)
+                more = own + [(TERM, a, b) for w, a, b in words_outside(text or "", own) if w in terms] if terms else own
+                base.append([dict(zip(("kind", "start", "end"), x)) for x in own])
+                spans.append([dict(zip(("kind", "start", "end"), x)) for x in more])
+                texts.append(None if text is None else redacted(text, more, generalise))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(spans, span), pa.array(texts, pa.string())], names=["doc_id", "base", "spans", "redacted"])
+
+    of = "array<struct<kind: string, start: int, end: int>>"
+    return documents.select("doc_id", "text").mapInArrow(mapped, f"doc_id {kind}, base {of}, spans {of}, redacted string")
 
 
 def redacted(text: str, spans, generalise: bool = True) -> str:

@@ -222,6 +222,45 @@ def test_copies_of_one_passage_do_not_hide_a_term(spark):
     assert all(not r.spans for r in got if r.doc_id >= 103)
 
 
+def test_terms_far_from_the_entity_are_counted_and_marked_everywhere(spark):
+    """The name is in the heading and the address in the signature; another text has the name alone."""
+    body = [" ".join(f"filler{chr(97 + i)}{chr(97 + j % 26)}" for j in range(60)) for i in range(4)]
+    texts = [f"Zanzibarite report\n{b}\nwrite to jo.x@mail.example.com" for b in body]
+    texts += ["we met Zanzibarite twice, Zanzibarite said"] + [f"plain report {i}" for i in range(200)] + [None, ""]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    for i in range(4):
+        assert ("term", 0, 11) in [tuple(s) for s in got[i].spans]
+        assert got[i].redacted.startswith("[TERM] report") and got[i].redacted.endswith("[EMAIL]")
+    assert got[4].redacted == "we met [TERM] twice, [TERM] said" and not got[4].base
+    assert all(got[i].redacted == texts[i] and not got[i].spans for i in range(5, len(texts)))
+
+
+def test_disclosure_against_brute_force(spark):
+    import math
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(3))
+    texts = [" ".join([word() for _ in range(rng.randint(0, 30))] + rng.choices(["jo@a.com", "x@b.org", "10.1.2.3", "and so"], k=rng.randint(0, 2)) + [word() for _ in range(rng.randint(0, 30))]) for _ in range(300)]
+    texts += texts[:40]
+    settings = pii.Settings(window=30, disclosure=0.2)
+    entity, pair, term, support = {}, {}, {}, {}
+    for text in texts:
+        spans = pii.base_spans(text)
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", text) if not any(m.start() < b and m.end() > a for _, a, b in spans)]
+        for w in {w for w, _, _ in words}:
+            term[w] = term.get(w, 0) + 1
+        for e in {(k, text[a:b]) for k, a, b in spans}:
+            entity[e] = entity.get(e, 0) + 1
+            windows = [tuple(w for w, s, t in words if s >= a - 30 and t <= b + 30) for k, a, b in spans if (k, text[a:b]) == e]
+            for w in {w for w, _, _ in words}:
+                pair[*e, w] = pair.get((*e, w), 0) + 1
+                support.setdefault((*e, w), set()).update([x for x in windows if w in x] or [tuple(["all"] + [w for w, _, _ in words])])
+    share = {p: math.log(len(texts) * n / (entity[p[:2]] * term[p[2]])) / math.log(len(texts) / entity[p[:2]]) for p, n in pair.items() if len(support[p]) >= settings.support}
+    want = {p: x for p, x in share.items() if x >= settings.disclosure}
+    got = {(r.kind, r.entity, r.term): r.disclosure for r in pii.disclosing(spark.createDataFrame(rows(texts), SCHEMA), settings).collect()}
+    assert len(want) > 5 and got == pytest.approx(want)
+
+
 def test_personal_query_on_odd_rows(spark, odd):
     got = pii.personal_data(odd).collect()
     assert len(got) == odd.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
