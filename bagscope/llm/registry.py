@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bagscope.llm import fingerprints, langid, licences, mixing, neighbours, pieces, pii, secret_scan, simhash, toxicity
+from bagscope.llm import alignment, fingerprints, langid, licences, mixing, neighbours, packing, pieces, pii, runs, secret_scan, simhash, toxicity
 from bagscope.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_licences": op2_licences,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_neighbours": op10_neighbours,
+    "op11_alignment": op11_alignment,
+    "op12_packing": op12_packing,
+    "op13_runs": op13_runs,
 }
 
 SQL: dict[str, str] = {"op2_licences": licences.SQL, "op6_mixing": mixing.SQL}
