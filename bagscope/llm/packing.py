@@ -1,10 +1,10 @@
 """Best-fit packing of documents into sequences, certified by dual-feasible functions and repacked where gaps are left.
 
-Pieces of documents are dealt into partitions of bounded size, and each partition packs its own by best-fit
+Pieces of documents are dealt into partitions of bounded size and like lengths, and each partition packs its own by best-fit
 decreasing. A dual-feasible function maps lengths to shares such that no full sequence holds shares of more than 1, so
 their sum is a lower bound of the sequences that any packing needs. A partition whose packing meets its bound is
-certified. Where sequences are left with a gap, their documents are exchanged: the emptiest sequences of neighbouring
-partitions are opened, their pieces are packed together, and so on over ever fewer partitions.
+certified. Where sequences are left with a gap, their documents are exchanged: the sequences of neighbouring partitions
+with the greatest gaps are opened, their pieces are packed together, and so on over ever fewer partitions.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bagscope.llm.base import small_batches
+from bagscope.operators.ranking import ordered_index
 from bagscope.session import materialize
 
 #: Parts of words that a worker remembers; past that it begins anew.
@@ -45,7 +46,7 @@ def tokenizer_path() -> str:
 @dataclass(frozen=True)
 class Settings:
     """``pieces`` are packed by one task; ``fan`` partitions exchange documents; each opens ``opened`` sequences, and
-    ``opened`` more for each sequence that its packing is over its bound."""
+    as many more for each sequence that its packing is over the bound."""
 
     capacity: int = 4096
     end: int = 1
@@ -160,30 +161,29 @@ def pieces(documents: DataFrame, path: str | None = None, settings: Settings = S
 # ---- bounds and packing of one partition
 
 
-def bounds(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Lower bounds of the sequences for ``counts`` pieces of each length (0 .. capacity), not rounded up.
+def dual_feasible(capacity: int) -> np.ndarray:
+    """One row for each function, one share for each length (0 .. capacity): lengths that fit together have shares of 1 at most.
 
-    Three families of dual-feasible functions: the length itself; for each threshold e, lengths below it count
-    nothing and those above capacity - e a whole sequence; and for each k, shares rounded down to k-ths of k + 1.
-    The result has one entry for each function, so bounds of partitions can be added up.
+    Three families: the length itself (threshold 0); for each threshold e, lengths below it count nothing and those
+    above capacity - e a whole sequence; and for each k, shares rounded down to k-ths of k + 1.
     """
-    x = np.arange(capacity + 1, dtype=np.int64)
-    total = counts * x
-    by_size, by_total = np.cumsum(counts), np.cumsum(total)
-    e = np.arange(0, capacity // 2 + 1)
-    below = np.where(e > 0, by_total[np.maximum(e - 1, 0)], 0)
-    middle = by_total[capacity - e] - below  # e <= length <= capacity - e
-    large = by_size[-1] - by_size[capacity - e]
-    thresholds = middle / capacity + large
+    x = np.arange(capacity + 1, dtype=np.int64)[None]
+    e = np.arange(capacity // 2 + 1)[:, None]
+    thresholds = np.where(x > capacity - e, 1.0, np.where(x >= e, x / capacity, 0.0))
     k = np.arange(1, 65)[:, None]
-    exact = x[None] * (k + 1) % capacity == 0
-    rounded = np.where(exact, x[None] / capacity, (x[None] * (k + 1) // capacity) / k)
-    return np.concatenate([thresholds, rounded @ counts])  # at threshold 0 the length itself
+    rounded = np.where(x * (k + 1) % capacity == 0, x / capacity, x * (k + 1) // capacity / k)
+    return np.concatenate([thresholds, rounded])
 
 
-def least_sequences(values: np.ndarray) -> int:
-    """The bound as a whole number of sequences; the slack covers the rounding of sums of shares."""
-    return math.ceil(float(values.max(initial=0)) - 1e-6)
+def bound(counts: np.ndarray, capacity: int) -> tuple[int, np.ndarray]:
+    """The lower bound of the sequences for ``counts`` pieces of each length, and the function that gives it.
+
+    The slack in rounding up covers the rounding of sums of shares.
+    """
+    functions = dual_feasible(capacity)
+    values = functions @ counts
+    best = int(values.argmax())
+    return math.ceil(float(values[best]) - 1e-6), functions[best]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,40 +214,49 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def _packed(lengths: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, offsets, and for each piece whether its bin is opened again: the emptiest bins, for a packing with a gap.
+def _packed(lengths: np.ndarray, shares: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, offsets, and for each piece whether its bin is opened again.
 
-    A packing that meets its bound as it is, before rounding up, can't gain by any exchange and opens nothing. One
-    that meets it rounded up opens a few bins, because ends of several partitions may fit together.
+    Each bin holds shares of 1 at most, and what is left of it is its gap. Without gaps the number of bins is
+    certified: no other packing of these pieces, with whatever others, needs fewer for them. Else the bins with the
+    greatest gaps are opened, ``opened`` for the rounding and as many for each whole bin of gaps.
     """
     bins, offsets = best_fit(lengths, settings.capacity)
-    number = int(bins.max(initial=-1)) + 1
-    bound = bounds(np.bincount(lengths, minlength=settings.capacity + 1), settings.capacity)
-    if number <= float(bound.max(initial=0)) + 1e-6:
-        return bins, offsets, np.zeros(len(lengths), bool)
-    gap = number - least_sequences(bound)
-    filled = np.bincount(bins, lengths, number)
-    emptiest = np.argsort(filled, kind="stable")[: settings.opened * (1 + gap)]
-    emptiest = emptiest[filled[emptiest] < settings.capacity]
-    return bins, offsets, np.isin(bins, emptiest)
+    gaps = 1 - np.bincount(bins, shares[lengths])
+    widest = np.argsort(-gaps, kind="stable")[: settings.opened * (1 + math.ceil(gaps.sum() - 1e-6))]
+    return bins, offsets, np.isin(bins, widest[gaps[widest] > 1e-9]) & (gaps.sum() > 1e-6)
+
+
+def length_counts(rows: DataFrame, capacity: int) -> np.ndarray:
+    """The number of pieces of each length; at most capacity + 1 numbers reach the driver."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in rows.groupBy("length").count().toLocalIterator():
+        counts[length] = n
+    return counts
 
 
 def pack(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``rows`` (with row, piece and length) with sequence_id and offset: as few sequences of ``capacity`` as found.
 
-    Pieces are dealt over partitions by a hash of row and piece, so that no key can fill a partition. Partitions
-    pack, and those with a gap open their emptiest sequences; ``fan`` of them pack what they opened together, and
-    so on until one partition is left or none has a gap. Each round is a written table, a small part of the one
-    before. Sequence ids are of the round, the partition and the place in it; offsets have no gaps.
+    Pieces are dealt over partitions in turns, forth and back, in the order of their lengths: every partition gets as
+    many, and of each length its share, so that none lacks the short ones that fill the gaps of the others. The function
+    that bounds all pieces best certifies the partitions' packings; those with a gap open the sequences with the
+    greatest gaps, ``fan`` of them pack what they opened together, and so on until one partition is left or none has a
+    gap. Each round is a written table, a small part of the one before. Sequence ids are of the round, the partition
+    and the place in it; offsets have no gaps.
     """
-    parts = max(1, -(-rows.count() // settings.pieces))
-    left = rows.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)))
+    counts = length_counts(rows, settings.capacity)
+    shares = bound(counts, settings.capacity)[1]
+    parts = max(1, -(-int(counts.sum()) // settings.pieces))
+    turn, place = F.floor(F.col("place") / parts), F.col("place") % parts
+    part = F.when(turn % 2 == 0, place).otherwise(parts - 1 - place).cast("bigint")
+    left = ordered_index(rows, [F.col("length"), F.xxhash64("row", "piece")], "place").withColumn("part", part).drop("place")
     schema = T.StructType([*left.schema.fields, *[T.StructField(n, T.LongType()) for n in ("bin", "offset")], T.StructField("open", T.BooleanType())])
 
     def packed(frame):
         import pandas as pd
 
-        bins, offsets, opened = _packed(frame["length"].to_numpy(), settings)
+        bins, offsets, opened = _packed(frame["length"].to_numpy(), shares, settings)
         return pd.concat([frame.reset_index(drop=True), pd.DataFrame({"bin": bins, "offset": offsets, "open": opened})], axis=1)
 
     done, level = [], 0
@@ -268,12 +277,9 @@ def pack(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return out
 
 
-def certificate(lengths: DataFrame, settings: Settings = Settings()) -> int:
-    """The lower bound of the sequences for all pieces of a table with ``length``; one count for each length."""
-    counts = np.zeros(settings.capacity + 1, np.int64)
-    for length, n in lengths.groupBy("length").count().toLocalIterator():  # at most capacity + 1 rows
-        counts[length] = n
-    return least_sequences(bounds(counts, settings.capacity))
+def certificate(rows: DataFrame, settings: Settings = Settings()) -> int:
+    """The lower bound of the sequences for all pieces of a table with ``length``."""
+    return bound(length_counts(rows, settings.capacity), settings.capacity)[0]
 
 
 def packing(documents: DataFrame, path: str | None = None, settings: Settings = Settings()) -> DataFrame:
