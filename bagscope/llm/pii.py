@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagscope.llm.base import small_batches
-from bagscope.operators.joins import lookup_join
+from bagscope.operators.joins import fits_broadcast, lookup_join
 from bagscope.session import materialize
 
 # The kinds in their order.
@@ -30,6 +31,11 @@ _NUMBERS = re.compile(r"[0-9][0-9.]*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+_ASCII_WORD = re.compile(r"[a-z]{3,}")
+#: Marked terms, and their bytes, that are sent to all tasks; beyond that they are joined to the texts' words.
+TERMS, TERM_BYTES = 500_000, 16 << 20
+#: Different words that a task counts before it hands its counts on.
+COUNTED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -126,6 +132,15 @@ def words_outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[st
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text without spans, in order, as :func:`words_outside` gives them."""
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    if "\u0130" in text or "\u03a3" in text:  # letters that lower case turns into more than one, or by what stands beside them
+        return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
+
+
 def _hash(words) -> int:
     print_ = hashlib.blake2b("\x00".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
     return int.from_bytes(print_, "little", signed=True)
@@ -155,25 +170,52 @@ def occurrences(text: str, spans: list[tuple[str, int, int]], words: list[tuple[
 
 
 NEAR = "array<struct<term: string, context: bigint, first: int>>"
-DETECTED = f"entities: array<struct<kind: string, entity: string, contexts: int, near: {NEAR}>>, words: array<string>, context: bigint"
+DETECTED = f"entities array<struct<kind: string, entity: string, contexts: int, near: {NEAR}>>, words array<string>, context bigint, terms array<string>, counts array<bigint>"
 
 
 def detect(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """entities (with the words in their windows), words (different ones outside the spans) and context (a hash of all words in order) of every document."""
+    """What one pass over the texts finds, as rows of two kinds.
+
+    A document with entities gives ``entities`` (with the words in their windows), ``words`` (different ones outside the
+    spans) and ``context`` (a hash of all words in order). Every task also gives its ``terms`` with ``counts``, the number
+    of its documents that hold each, whenever it has met COUNTED different ones, and at its end.
+    """
     small_batches(documents.sparkSession)
     near = pa.list_(pa.struct([("term", pa.string()), ("context", pa.int64()), ("first", pa.int32())]))
     entity = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("contexts", pa.int32()), ("near", near)]))
+    kinds = {"entities": entity, "words": pa.list_(pa.string()), "context": pa.int64(), "terms": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+
+    def rows(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * n), t) for k, t in kinds.items()], names=list(kinds))
+
+    def counted(held: Counter):
+        terms = list(held)
+        for i in range(0, len(terms), 1 << 14):
+            part = terms[i : i + (1 << 14)]
+            yield rows(terms=[part], counts=[[held[t] for t in part]])
 
     def mapped(batches):
+        held: Counter = Counter()
         for batch in batches:
             entities, words, context = [], [], []
             for text in batch.column("text").to_pylist():
+                text = text or ""
                 spans = base_spans(text)
-                outside = words_outside(text or "", spans)
-                entities.append(occurrences(text, spans, outside, settings.window) if spans else [])
+                if not spans:
+                    held.update(set(words_of(text)))
+                    continue
+                outside = words_outside(text, spans)
+                entities.append(occurrences(text, spans, outside, settings.window))
                 words.append(list(dict.fromkeys(w for w, _, _ in outside)))
-                context.append(_hash(w for w, _, _ in outside) if spans else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(entities, entity), pa.array(words, pa.list_(pa.string())), pa.array(context, pa.int64())], names=["entities", "words", "context"])
+                context.append(_hash(w for w, _, _ in outside))
+                held.update(words[-1])
+            if entities:
+                yield rows(entities=entities, words=words, context=context)
+            if len(held) > COUNTED:
+                yield from counted(held)
+                held = Counter()
+        yield from counted(held)
 
     return documents.select("text").mapInArrow(mapped, DETECTED)
 
@@ -189,23 +231,23 @@ def disclosing(documents: DataFrame, settings: Settings = Settings()) -> DataFra
     What can't reach the threshold is left out before terms and entities meet: entities of too few contexts,
     and, as n(e, t) <= n(e), terms of more than N (n(e) / N) ** disclosure documents for the largest n(e).
     """
-    every = detect(documents, settings)
-    found = materialize(every.where(F.size("entities") > 0)).select(F.explode("entities").alias("e"), "words", "context")
+    every = materialize(detect(documents, settings))  # the texts are looked through once
+    found = every.where("entities is not null").select(F.explode("entities").alias("e"), "words", "context")
     found = found.select("e.kind", "e.entity", "e.contexts", "e.near", "words", "context")
     entities = found.groupBy("kind", "entity").agg(F.count("*").alias("n_entity"), F.sum("contexts").alias("contexts"))
     entities = materialize(entities.where(F.col("contexts") >= settings.support).drop("contexts"))
     most = entities.agg(F.max("n_entity")).first()[0]
     if most is None:
         return entities.select("kind", "entity", F.lit("").alias("term"), F.lit(1.0).alias("disclosure"))
-    counted = every.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))  # summed before anything is joined
-    counted = materialize(counted)
+    counted = every.where("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    counted = materialize(counted.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n_term")))
     total = float(max(2, documents.count()))
     bound = total * (most / total) ** settings.disclosure * (1 + 1e-9)
-    common = counted.where(F.col("n_term") > bound).select("term")  # few: their sum is at most the words of all documents
+    common = counted.where(F.col("n_term") > bound).select("term")
     live = lookup_join(found.drop("contexts"), entities.select("kind", "entity"), ["kind", "entity"])
     far = F.transform(F.array_except("words", F.transform("near", lambda x: x["term"])), lambda t: F.struct(t.alias("term"), F.col("context").alias("context"), F.lit(1).alias("first")))
     met = live.select("kind", "entity", F.explode(F.concat("near", far)).alias("t")).select("kind", "entity", "t.term", "t.context", "t.first")
-    met = met.join(F.broadcast(common), "term", "left_anti")
+    met = lookup_join(met, common, ["term"], "left_anti")
     together = met.groupBy("kind", "entity", "term", "context").agg(F.sum("first").alias("n_both"))
     together = together.groupBy("kind", "entity", "term").agg(F.sum("n_both").alias("n_both"), F.count("*").alias("contexts"))
     together = together.where(F.col("contexts") >= settings.support).drop("contexts").join(entities, ["kind", "entity"])
@@ -214,34 +256,58 @@ def disclosing(documents: DataFrame, settings: Settings = Settings()) -> DataFra
     return together.join(counted, "term").select("kind", "entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= settings.disclosure)
 
 
-def sanitise(documents: DataFrame, settings: Settings = Settings(), generalise: bool = True) -> DataFrame:
+def _words_of_rows(rows: DataFrame) -> DataFrame:
+    """row and term of the different words of every text."""
+
+    def mapped(batches):
+        for batch in batches:
+            words = [sorted(set(words_of(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words, pa.list_(pa.string()))], names=["row", "words"])
+
+    return rows.select("row", "text").mapInArrow(mapped, "row bigint, words array<string>").select("row", F.explode("words").alias("term"))
+
+
+def sanitise(documents: DataFrame, settings: Settings = Settings(), generalise: bool = True, terms: int = TERMS) -> DataFrame:
     """doc_id, base and spans (arrays of spans) and ``redacted`` text of every document.
 
     ``spans`` are the base spans, and after them every occurrence of a term that discloses an entity of the
-    corpus, in whichever text it stands. ``redacted`` has them replaced by their kind, or removed. The terms, a
-    part of the corpus' vocabulary, go to all tasks, so the texts are read once more and not shuffled. A null text
+    corpus, in whichever text it stands. ``redacted`` has them replaced by their kind, or removed. A null text
     stays null and, like an empty one, has no spans; repeated rows each get their own; an empty table gives none.
+
+    The terms go to all tasks while they are measured to be ``terms`` and TERM_BYTES at most, and the texts are not
+    shuffled. Beyond that the words of the texts are joined to them, and each text gets its own terms.
     """
     spark = documents.sparkSession
-    marked = spark.sparkContext.broadcast(frozenset(r.term for r in disclosing(documents, settings).select("term").distinct().toLocalIterator()))
     small_batches(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    listed = materialize(disclosing(documents, settings).select("term").distinct())
+    rows = documents.select("doc_id", "text")
+    if fits_broadcast(listed, terms, TERM_BYTES):
+        marked = spark.sparkContext.broadcast(frozenset(r.term for r in listed.toLocalIterator()))
+    else:
+        marked = None
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+        own = lookup_join(_words_of_rows(rows), listed, ["term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
+        rows = rows.join(own, "row", "left").drop("row")
 
     def mapped(batches):
-        terms = marked.value
         for batch in batches:
             base, spans, texts = [], [], []
-            for text in batch.column("text").to_pylist():
+            every = batch.column("text").to_pylist()
+            own_terms = [marked.value] * len(every) if marked else [frozenset(x or ()) for x in batch.column("terms").to_pylist()]
+            for text, known in zip(every, own_terms):
                 own = base_spans(text)
-                more = own + [(TERM, a, b) for w, a, b in words_outside(text or "", own) if w in terms] if terms else own
+                # a text without any of the terms needs no places of words
+                held = known and not known.isdisjoint(words_of(text or ""))
+                more = own + [(TERM, a, b) for w, a, b in words_outside(text, own) if w in known] if held else own
                 base.append([dict(zip(("kind", "start", "end"), x)) for x in own])
                 spans.append([dict(zip(("kind", "start", "end"), x)) for x in more])
-                texts.append(None if text is None else redacted(text, more, generalise))
+                texts.append(None if text is None else redacted(text, more, generalise) if more else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(spans, span), pa.array(texts, pa.string())], names=["doc_id", "base", "spans", "redacted"])
 
     of = "array<struct<kind: string, start: int, end: int>>"
-    return documents.select("doc_id", "text").mapInArrow(mapped, f"doc_id {kind}, base {of}, spans {of}, redacted string")
+    return rows.mapInArrow(mapped, f"doc_id {kind}, base {of}, spans {of}, redacted string")
 
 
 def redacted(text: str, spans, generalise: bool = True) -> str:
@@ -258,13 +324,19 @@ def redacted(text: str, spans, generalise: bool = True) -> str:
 
 
 def personal_data(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, the number of base matches of each kind, base_sha256 and all spans of every document."""
+    """doc_id, the number of base matches of each kind, base_sha256, all spans, n_term and redacted_sha256 of every document.
+
+    ``n_term`` counts the marked terms; ``redacted_sha256`` is of the text with all spans replaced by their kind, null
+    for a null text. Null and empty texts have no spans; repeated rows and null keys each get their own row; an empty
+    table gives none; other columns are not looked at.
+    """
     found = sanitise(documents.select("doc_id", "text"), settings)
 
     def text_of(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    def number_of(kind: str):
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    def number_of(kind: str, spans: str = "base"):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(number_of, KINDS), F.sha2(text_of("base"), 256).alias("base_sha256"), text_of("spans").alias("spans"))
+    digests = F.sha2(text_of("base"), 256).alias("base_sha256"), text_of("spans").alias("spans")
+    return found.select("doc_id", *map(number_of, KINDS), *digests, number_of(TERM, "spans"), F.sha2("redacted", 256).alias("redacted_sha256"))

@@ -261,6 +261,31 @@ def test_disclosure_against_brute_force(spark):
     assert len(want) > 5 and got == pytest.approx(want)
 
 
+def test_words_without_places_are_the_words_outside():
+    rng = random.Random(11)
+    parts = ["ab", "Cde", "ΣΑΣ", "İx", "ß", "é", "'", " ", "12", "_", "日本語", "ŉab", "ǅa"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert pii.words_of(text) == [w for w, _, _ in pii.words_outside(text, [])], text
+
+
+def test_texts_are_looked_through_once_and_joined_terms_mark_the_same(spark, monkeypatch):
+    body = [" ".join(f"filler{chr(97 + i)}{chr(97 + j % 26)}" for j in range(60)) for i in range(4)]
+    texts = [f"Zanzibarite report\n{b}\nwrite to jo.x@mail.example.com" for b in body]
+    texts += ["we met Zanzibarite twice", "we met Zanzibarite twice"] + [f"plain report {i}" for i in range(200)] + [None, ""]
+    docs = spark.createDataFrame(rows(texts) + [(None, "Zanzibarite", None, None, None, None)], SCHEMA)
+    passes, detect = [], pii.detect
+    monkeypatch.setattr(pii, "detect", lambda *args: passes.append(1) or detect(*args))
+    key = lambda r: (str(r.doc_id), str(r.redacted), str(r.spans))
+    sent = sorted(pii.sanitise(docs).collect(), key=key)
+    assert passes == [1]
+    monkeypatch.setattr(pii, "COUNTED", 3)
+    joined = sorted(pii.sanitise(docs, terms=0).collect(), key=key)
+    assert sent == joined and sum(r.redacted is not None and "[TERM]" in r.redacted for r in sent) == 7
+    digests = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert digests[4].n_term == 1 and digests[4].redacted_sha256 == hashlib.sha256(b"we met [TERM] twice").hexdigest()
+
+
 def test_personal_query_on_odd_rows(spark, odd):
     got = pii.personal_data(odd).collect()
     assert len(got) == odd.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
