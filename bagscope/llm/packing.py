@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from bagscope.llm.base import small_batches
 from bagscope.operators.ranking import ordered_index
 from bagscope.session import materialize
 
-#: Parts of words that a worker remembers; past that it begins anew.
-PARTS = 1 << 19
+#: Words, and parts of words, that a worker remembers; past that it begins anew.
+WORDS, PARTS = 1 << 19, 1 << 20
 #: Bytes of text whose new words are encoded together; a single longer text is handled alone.
 CHUNK = 2 << 20
 # Letters of two bytes that stay letters when case is lowered, and how the tokenizer cuts texts (fixed values).
@@ -58,11 +59,41 @@ class Settings:
 # ---- tokens
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _word_keys(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and a 64-bit key of every word between ASCII spaces: sums of random letters times powers, taken back to place 0."""
+    codes = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACES[codes], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    size = 1 << max(16, len(codes).bit_length())
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_letters()[codes] * _powers(size, _BASE)[: len(codes)], out=sums[1:])
+    back = _powers(size, pow(_BASE, -1, 1 << 64))
+    return starts, ends, (sums[ends] - sums[starts]) * back[starts]
+
+
 class WordIds:
     """Ids of whole texts as little-endian bytes, by a tokenizer that lowers case, drops white space and cuts texts into parts first.
 
-    Texts are cut as the tokenizer cuts them, and equal parts are encoded once while they are remembered. Words with
-    characters other than ASCII and Latin letters are not cut; texts that hold a special token are encoded whole.
+    Words between ASCII spaces are encoded once while they are remembered, and so are the parts that the tokenizer cuts
+    them into. Words with characters other than ASCII and Latin letters are not cut; texts that hold a special token are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,37 +103,59 @@ class WordIds:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn_parts(self, new: list[bytes]) -> None:
         """Encode new parts together. Each closes with a token that ends a word; where the numbers differ, one by one."""
         for i in range(0, len(new), 20_000):
             some = [p.decode("utf-8", "replace") for p in new[i : i + 20_000]]
             single = [k for k, p in enumerate(some) if p.isascii() or p.isalpha()]
             ids = np.array(self.tokenizer.encode(" ".join([some[k] for k in single]), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(last) != len(single):
-                single, last = [], last[:0]
-            self.known.update((new[i + k], x.tobytes()) for k, x in zip(single, np.split(ids, last[:-1])))
+                single, last = [], []
+            flat = ids.tobytes()
+            self.parts.update((new[i + k], flat[4 * a : 4 * b]) for k, a, b in zip(single, [0, *last], last))
             other = sorted(set(range(len(some))) - set(single))
-            self.known.update(zip([new[i + k] for k in other], self._ids([some[k] for k in other])))
+            self.parts.update(zip([new[i + k] for k in other], self._ids([some[k] for k in other])))
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut = [(w, (_ASCII_PARTS if w.isascii() else _PARTS).findall(w)) for w in words]
+        if len(self.parts) > PARTS:
+            self.parts.clear()
+        parts = self.parts
+        new = {p for _, own in cut for p in own if p not in parts}
+        self._learn_parts(list(new))
+        self.words.update((w, parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])) for w, own in cut)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         lowered = [(t or b"").lower() for t in texts]
-        cut = [[] if any(x in t for x in self.special) else (_ASCII_PARTS if t.isascii() else _PARTS).findall(t) for t in lowered]
-        if len(self.known) > PARTS:
-            self.known.clear()
-        known = self.known
-        new = {p for own in cut for p in own if p not in known}
-        if new:
-            self._learn(list(new))
-        whole = [i for i, t in enumerate(texts) if t and not cut[i]]
-        out = [b"".join([known[p] for p in own]) for own in cut]
-        for i, ids in zip(whole, self._ids([texts[i].decode("utf-8", "replace") for i in whole])):
-            out[i] = ids
+        whole = [i for i, t in enumerate(lowered) if any(x in t for x in self.special)]
+        for i in whole:
+            lowered[i] = b""
+        joined = b" ".join(lowered)
+        starts, ends, keys = _word_keys(joined)
+        # each different word of the batch is looked up once
+        _, first, word = np.unique(keys, return_index=True, return_inverse=True)
+        own = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        self._learn({w for w in own if w not in self.words})
+        ids_of = [self.words[w] for w in own]
+        sizes = np.array([len(x) for x in ids_of], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids_of), "<u4")
+        each = sizes[word]
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        ids = flat[at].tobytes()
+        begins = np.cumsum([0, *[len(t) + 1 for t in lowered]])
+        through = np.append(0, np.cumsum(each))[np.searchsorted(starts, begins)] * 4
+        out = [ids[a:b] for a, b in zip(through[:-1].tolist(), through[1:].tolist())]
+        for i, other in zip(whole, self._ids([texts[i].decode("utf-8", "replace") for i in whole])):
+            out[i] = other
         return out
 
 
