@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +28,8 @@ def fold(key: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
-def balanced_sample(rows: DataFrame, label: str, per_class: int, *order: str) -> DataFrame:
-    """At most ``per_class`` rows of each value of ``label``, drawn by a hash of the columns ``order``.
+def balanced_sample(rows: DataFrame, label: str, per_class: int, *order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """At most ``per_class`` rows of each value of ``label``, drawn by a hash of the columns ``order``; ``ties`` order equal ones.
 
     The class sizes are counted first, so that the ranking window only sees rows whose hash is small
     enough to be among the first: about twice ``per_class`` of each class, whatever the class sizes.
@@ -41,7 +41,7 @@ def balanced_sample(rows: DataFrame, label: str, per_class: int, *order: str) ->
         .join(F.broadcast(sizes), label)  # one row per class
         .where(F.col("_draw") * F.col("_n") <= F.lit(2.0 * per_class + 50))
     )
-    place = F.row_number().over(Window.partitionBy(label).orderBy("_draw", *order))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_draw", *order, *ties))
     return kept.withColumn("_place", place).where(F.col("_place") <= per_class).drop("_place", "_draw", "_n")
 
 

@@ -81,10 +81,11 @@ def train(texts: list[str | None], toxic: list[int], settings: Settings = Settin
     A text is toxic through few of its words, so a text stands for its word of the largest logit
     (multiple-instance learning): rounds of choosing candidate words under the current model, each
     followed by Adam steps on the vectors of the chosen words and on the softmax rows. Words are first
-    chosen by the log odds of their n-grams. With one class or no text the score is constant.
+    chosen by the log odds of their n-grams. With one class or no text the score is constant: the share of toxic
+    texts, and a quarter without any label, so that nothing is called toxic for want of labels.
     """
     y = np.asarray(toxic, float)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.25
     start = float(np.log(share / (1 - share)))
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << settings.bits, np.float32), start, settings.bits)
@@ -177,15 +178,17 @@ def train(texts: list[str | None], toxic: list[int], settings: Settings = Settin
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold.
 
-    At most ``per_class`` documents of each class and of at most ``max_chars`` characters are drawn.
-    Labels of a document are joined by its key; null labels and texts are not drawn.
+    At most ``per_class`` documents of each class and of at most ``max_chars`` characters are drawn. Labels of a
+    document are joined by its key; null labels and texts are not drawn. Different texts under one key are drawn each by
+    itself; equal rows are one.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).where("_toxic in (0, 1)").distinct()
-    texts = documents.where(F.col("text").isNotNull() & (fold("doc_id", 5) != 0) & (F.length("text") <= settings.max_chars)).select("doc_id", "text")
-    # drawn by key alone; only the texts of the bounded draw leave the scan
-    keys = balanced_sample(texts.select("doc_id").join(marked, "doc_id"), "_toxic", settings.per_class, "doc_id")
-    keys = materialize(keys)
-    drawn = texts.join(F.broadcast(keys), "doc_id").select("text", "_toxic").limit(4 * settings.per_class).toPandas()
+    texts = documents.where(F.col("text").isNotNull() & (fold("doc_id", 5) != 0) & (F.length("text") <= settings.max_chars)).select("doc_id", "text", F.xxhash64("text").alias("_print"))
+    # drawn by key and print alone; only the texts of the bounded draw leave the scan
+    different = texts.select("doc_id", "_print").join(marked, "doc_id").distinct()
+    keys = materialize(balanced_sample(different, "_toxic", settings.per_class, "doc_id", ties=["_print"]))
+    found = texts.join(F.broadcast(keys), ["doc_id", "_print"]).dropDuplicates(["doc_id", "_print", "_toxic"])
+    drawn = found.select("text", "_toxic").toPandas()  # a row for each key drawn
     drawn = drawn.sort_values(["_toxic", "text"], kind="stable")
     return train(drawn["text"].tolist(), drawn["_toxic"].tolist(), settings)
 

@@ -292,6 +292,26 @@ def test_personal_query_on_odd_rows(spark, odd):
     assert pii.personal_data(odd.limit(0)).count() == 0
 
 
+def test_toxicity_without_labels_rejects_nothing(spark, odd):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for given in (labels, spark.createDataFrame([(i, 1, None) for i in range(9)], "doc_id bigint, quality int, toxic int")):
+        got = toxicity.toxicity(odd, given).collect()
+        assert len(got) == odd.count() and all(r.predicted == 0 and r.score < 0.5 for r in got)
+
+
+def test_toxicity_draws_different_texts_under_one_key(spark, monkeypatch):
+    key = next(i for i in range(100) if crc(i) % 5)
+    texts = [f"text number {i}" for i in range(30)] + ["the same text"] * 50
+    labels = spark.createDataFrame([(key, 1, 1)], "doc_id bigint, quality int, toxic int")
+    drawn = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, settings: drawn.append((texts, toxic)))
+    docs = spark.createDataFrame([(key, t) for t in texts], "doc_id bigint, text string")
+    toxicity.fit(docs, labels, toxicity.Settings(per_class=100))
+    assert drawn == [(sorted(set(texts)), [1] * 31)]
+    toxicity.fit(docs, labels, toxicity.Settings(per_class=7))
+    assert len(drawn[1][0]) == len(set(drawn[1][0])) == 7
+
+
 # ---- fingerprints
 
 
