@@ -64,11 +64,15 @@ def clone_stats(counts: DataFrame, labels: DataFrame, gate: Gate = Gate()) -> Da
     The p-value is computed only behind the two cheap gates, and is null where they already drop a clone.
     """
     totals = class_totals(labels)
-    rare = F.col("pos") < gate.min_pos
-    common = F.lit(False) if gate.max_neg is None else F.col("neg") > gate.max_neg
     with_totals = counts.withColumn("__np", totals.select("n_pos").scalar()).withColumn(
         "__nn", totals.select("n_neg").scalar()
     )
+    return _tested(with_totals, gate)
+
+
+def _tested(with_totals: DataFrame, gate: Gate) -> DataFrame:
+    rare = F.col("pos") < gate.min_pos
+    common = F.lit(False) if gate.max_neg is None else F.col("neg") > gate.max_neg
     p = F.when(~rare & ~common, fisher_greater(F.col("pos"), F.col("neg"), F.col("__np"), F.col("__nn")))
     reason = (
         F.when(rare, F.lit("too_rare"))
@@ -79,6 +83,43 @@ def clone_stats(counts: DataFrame, labels: DataFrame, gate: Gate = Gate()) -> Da
     return with_totals.withColumn("p_value", p).withColumn("reason", reason).drop("__np", "__nn")
 
 
+def fold_clone_counts(presence: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
+    """(fold, clone, pos, neg): the counts of every training set, that is of all folds but one.
+
+    ``folds`` is (repertoire_id, label, fold). Each clone is counted once by fold and class, in one shuffle of the
+    presence; a training set's counts are the clone's totals less those of the fold held out. Only clones seen in a
+    positive repertoire of the training set are given.
+    """
+    labelled = lookup_join(presence, folds.select(ID, "label", "fold"), [ID])
+    cells = [
+        F.count_if((F.col("label") == label) & (F.col("fold") == fold)).alias(f"__{name}_{fold}")
+        for name, label in (("pos", 1), ("neg", 0)) for fold in range(n_folds)
+    ]
+    counted = labelled.groupBy(*CLONE_COLUMNS).agg(
+        F.count_if(F.col("label") == 1).alias("__pos"), F.count_if(F.col("label") == 0).alias("__neg"), *cells
+    )
+    left = [
+        F.struct(F.lit(fold).alias("fold"), *[(F.col(f"__{name}") - F.col(f"__{name}_{fold}")).alias(name) for name in ("pos", "neg")])
+        for fold in range(n_folds)
+    ]
+    return counted.select(*CLONE_COLUMNS, F.inline(F.array(*left))).where(F.col("pos") > 0)
+
+
+def fold_class_totals(folds: DataFrame) -> DataFrame:
+    """(fold, n_pos, n_neg) of the training set of each fold; one row per fold."""
+    held = folds.groupBy("fold").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    every = class_totals(folds)
+    return held.select(
+        "fold", (every.select("n_pos").scalar() - F.col("p")).alias("n_pos"), (every.select("n_neg").scalar() - F.col("n")).alias("n_neg")
+    )
+
+
+def fold_clone_stats(counts: DataFrame, folds: DataFrame, gate: Gate = Gate()) -> DataFrame:
+    """As :func:`clone_stats`, for the counts of every fold's training set."""
+    totals = fold_class_totals(folds).select("fold", F.col("n_pos").alias("__np"), F.col("n_neg").alias("__nn"))
+    return _tested(counts.join(F.broadcast(totals), "fold"), gate)  # one row per fold
+
+
 def kept_clones(stats: DataFrame) -> DataFrame:
     return stats.where(F.col("reason") == "kept").drop("reason")
 

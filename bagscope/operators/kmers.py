@@ -164,3 +164,16 @@ def combine_blocks(blocks: dict[str, DataFrame]) -> DataFrame:
 
 def with_feature_name(features: DataFrame) -> DataFrame:
     return features.withColumn("feature", feature_name(F.col("k"), F.col("kmer")))
+
+
+def population_scales(values: DataFrame, n: int, value: str = "value") -> DataFrame:
+    """(idx, mean, scale): mean and population deviation of every feature over ``n`` repertoires, implicit zeros included.
+
+    ``values`` holds (repertoire_id, idx, value) with each pair once. One combined aggregate by feature; nothing as wide
+    as the vocabulary is gathered anywhere. The scale of a constant feature is 1.
+    """
+    sums = values.groupBy("idx").agg(F.sum(value).alias("__s"), F.sum(F.col(value) * F.col(value)).alias("__q"))
+    mean = F.col("__s") / F.lit(n)
+    variance = F.col("__q") / F.lit(n) - mean * mean
+    scale = F.when(variance > F.lit(1e-12) * F.greatest(mean * mean, F.lit(1.0)), F.sqrt(variance)).otherwise(F.lit(1.0))
+    return sums.select("idx", mean.alias("mean"), scale.alias("scale"))

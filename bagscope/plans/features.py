@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,21 @@ class DatasetFeatures:
             return pool_bags(vectors, POOLINGS, by=KEYS, vector_col=token_pool, copies="copies")
 
         return self.store.ensure(f"{name}_pooled_{token_pool}", self._names(datasets), build)
+
+    def build_each(self, step: Callable[[list[str]], DataFrame], datasets: Sequence[str] | None = None, parallelism: int = 4) -> DataFrame:
+        """(dataset, built, n_rows, error): ``step`` for each dataset by itself, so that a damaged one is reported and the rest is built.
+
+        ``step`` is a method of this object or a function of a list of one dataset. Its errors are kept as text; a job that
+        fails leaves nothing in the store's manifest, and a later call tries it again.
+        """
+
+        def guarded(name: str) -> tuple:
+            try:
+                return name, True, step([name]).count(), None
+            except Exception as error:  # whatever a dataset's files do to the job is that dataset's outcome
+                return name, False, None, f"{type(error).__name__}: {str(error).strip().splitlines()[0][:500] if str(error).strip() else ''}"
+
+        spark = self.store.spark
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(inheritable_thread_target(spark)(guarded), self._names(datasets))
+        return spark.createDataFrame(found, "dataset string, built boolean, n_rows bigint, error string")

@@ -358,3 +358,30 @@ QUALIFY row_number() OVER (ORDER BY n DESC, {_CLONE}) <= 500""",
     "requested_vectors": """SELECT label::VARCHAR AS dataset, vec_id AS repertoire_id FROM embeddings
 WHERE vec_id IN (SELECT doc_id FROM labels WHERE doc_id % 10 = label)""",
 }
+
+# --- models, the part that SQL can express -------------------------------------------------------
+
+_RANKED_APART = _RANKED.replace("labelled AS (", "every_label AS (").replace("FROM labelled", "FROM every_label")
+
+SQL |= {
+    "kmer_scales": f"""WITH {_kmers(3, 4)}, {_TRAIN_TEST},
+sizes AS (SELECT count(*) AS n FROM labels),
+sums AS (
+  SELECT k, kmer, sum(cnt)::DOUBLE AS s, sum(cnt * cnt)::DOUBLE AS q FROM train
+  WHERE kmer IN (SELECT kmer FROM train_totals WHERE total >= {MIN_COUNT}) GROUP BY ALL)
+SELECT k, kmer, round(s / n, 6) AS mean,
+  round(CASE WHEN q / n - (s / n) * (s / n) > 1e-12 * greatest((s / n) * (s / n), 1)
+    THEN sqrt(q / n - (s / n) * (s / n)) ELSE 1 END, 6) AS scale FROM sums CROSS JOIN sizes""",
+    "clone_fold_selection": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {_RANKED_APART}, {_clone_stats(f"{SEQUENCES}, {_PRESENCE}", f"labelled AS (SELECT repertoire_id, label FROM ranked WHERE rank % 5 <> {fold})")}
+SELECT {fold} AS fold, {_CLONE}, pos, neg, round(p_value, 9) AS p_value FROM stats WHERE reason = 'kept')"""
+        for fold in range(5)
+    ),
+    "embedding_store_roundtrip": """SELECT 'part_' || (vec_id % 3) AS dataset, label AS repertoire_id, count(*) AS n,
+  round(sum(list_sum(embedding::DOUBLE[])), 4) AS mean_sum, round(-sum(list_sum(embedding::DOUBLE[])), 4) AS max_sum
+FROM embeddings WHERE vec_id % 3 < 2 GROUP BY ALL""",
+}
+
+# Stated as tables, so that an engine keeps what several parts read.
+for _name in ("kmer_align_test", "clone_matrix", "importance_distinct", "importance_baseline"):
+    SQL[_name] = SQL[_name].replace(" AS (", " AS MATERIALIZED (")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bagscope.functions.text import CLONE_COLUMNS
 from bagscope.models import training as tr
-from bagscope.models.clone_model import CloneModel, fit_clone_model
+from bagscope.models.clone_model import CloneModel, fit_clone_model, out_of_fold_clone_scores
 from bagscope.models.vectors import dense_vectors, score_with, sparse_vectors
 from bagscope.models.zoo import classifier, scaled, scaled_logistic
 from bagscope.operators import clones as cl
@@ -245,7 +245,7 @@ def fit(
     if "clone" in families or config.important == "clones":
         presence = materialize(cl.clone_presence(sequences))
         if stacking and "clone" in families:
-            oof["clone"] = _clone_oof(presence, folds, config)
+            oof["clone"] = out_of_fold_clone_scores(presence, folds, config.n_folds, config.gate)
         out.clone_model = fit_clone_model(presence, labels, config.gate)
 
     if "embedding" in families:
@@ -284,16 +284,6 @@ def fit(
     return out
 
 
-def _clone_oof(presence: DataFrame, folds: DataFrame, config: PipelineConfig) -> DataFrame:
-    """Out-of-fold clone scores; clones are selected anew from the training folds each time."""
-    out = None
-    for fold in range(config.n_folds):
-        model = fit_clone_model(presence, folds.where(F.col("fold") != fold).select(ID, "label"), config.gate)
-        held = model.score(presence, folds.where(F.col("fold") == fold)).select(ID, "label", "fold", "score")
-        out = held if out is None else out.unionByName(held)
-    return out
-
-
 def evaluate_clone_model(presence: DataFrame, labels: DataFrame, gate: cl.Gate = cl.Gate(), test_share: float = 0.2) -> DataFrame:
     """Hold-out report of the clone model: AUC, accuracies, class means and active clones, one row."""
     from bagscope.operators.metrics import classification_report, roc_auc

@@ -650,6 +650,21 @@ def feature_store_roundtrip(spark, sf_dir):
     return kept.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("cnt").alias("n_kmers"))
 
 
+@query
+def embedding_store_roundtrip(spark, sf_dir):
+    """Sequence vectors kept per dataset with two token poolings, read back and summed; one dataset has no rows."""
+    store = sk.FeatureStore(spark, _scratch(spark, "store"))
+    rows = tables.vectors(spark, sf_dir).select(
+        F.concat(F.lit("part_"), (F.col("seq_no") % 3).cast("string")).alias("dataset"), "repertoire_id", "seq_no",
+        F.col("vector").cast("array<float>").alias("mean"), F.transform("vector", lambda x: (-x).cast("float")).alias("max"),
+    )
+    kept = store.ensure("vectors", ["part_0", "part_1", "part_9"], lambda names: rows.where(F.col("dataset").isin(names)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return kept.groupBy("dataset", "repertoire_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(total("mean")), 4).alias("mean_sum"), F.round(F.sum(total("max")), 4).alias("max_sum")
+    )
+
+
 @query
 def submission_roundtrip(spark, sf_dir):
     """Predictions and selected clones through the submission file."""
@@ -673,6 +688,26 @@ def _kmer_vectors(spark, sf_dir, config=STANDARD):
     return materialize(features.vectors(counts, folds)), features
 
 
+@query
+def clone_fold_selection(spark, sf_dir):
+    """Clones kept for each fold's training set, with their counts there."""
+    folds = materialize(fo.stratified_folds(tables.labels(spark, sf_dir)))
+    presence = cl.clone_presence(tables.sequences(spark, sf_dir, "train"))
+    kept = cl.kept_clones(cl.fold_clone_stats(cl.fold_clone_counts(presence, folds, 5), folds))
+    return kept.select("fold", *CLONE, "pos", "neg", _r("p_value", 9))
+
+
+@query
+def kmer_scales(spark, sf_dir):
+    """Mean and population deviation of every pruned k-mer over the labelled documents."""
+    counts = materialize(km.kmer_counts(tables.sequences(spark, sf_dir, "train"), STANDARD.k_list))
+    labels = tables.labels(spark, sf_dir)
+    features = pl.fit_kmer_features(counts, labels, STANDARD)
+    values = km.align(counts, features.vocab).select("repertoire_id", "idx", F.col("cnt").cast("double").alias("value"))
+    scales = km.population_scales(values, labels.count())
+    return scales.join(features.vocab, "idx").select("k", "kmer", _r("mean"), _r("scale"))
+
+
 @query
 def l1_kmer_model(spark, sf_dir):
     """Active coefficients of the scaled, balanced L1 model over the pruned k-mers."""

@@ -99,3 +99,34 @@ def test_clone_model_separates_and_falls_back(spark, tmp_path):
         assert min(r["score"] for r in scores if r["label"] == 1) > max(r["score"] for r in scores if r["label"] == 0)
     none = fit_clone_model(presence, labels, cl.Gate(min_pos=1000))
     assert {r["score"] for r in none.score(presence, labels).collect()} == {0.5}
+
+
+def test_fold_counts_by_subtraction_equal_counts_of_each_training_set(spark):
+    import random
+
+    from bagscope.models.clone_model import fit_clone_model, out_of_fold_clone_scores
+    from bagscope.session import materialize
+
+    rng = random.Random(3)
+    ids = [f"r{i}" for i in range(60)]
+    folds = spark.createDataFrame([(r, int(i % 2), i % 3) for i, r in enumerate(ids)], "repertoire_id string, label int, fold int")
+    held = [(r, f"C{c}", None if c % 5 == 0 else "V", "J") for i, r in enumerate(ids) for c in range(30) if rng.random() < (0.5 if i % 2 and c < 8 else 0.1)]
+    presence = materialize(spark.createDataFrame(held, "repertoire_id string, junction_aa string, v_call string, j_call string").distinct())
+    gate = cl.Gate(3, None, 0.05)
+    got = cl.fold_clone_counts(presence, folds, 3)
+    stats = cl.fold_clone_stats(got, folds, gate)
+    scores = {r.repertoire_id: r for r in out_of_fold_clone_scores(presence, folds, 3, gate).collect()}
+    assert len(scores) == 60
+    for fold in range(3):
+        train = folds.where(f"fold <> {fold}").select("repertoire_id", "label")
+        own = cl.clone_counts(presence, train)
+        key = lambda rows: sorted(map(tuple, rows), key=repr)
+        assert key(got.where(f"fold = {fold}").drop("fold").collect()) == key(own.collect())
+        want = cl.clone_stats(own, train, gate)
+        columns = want.columns
+        assert key(stats.where(f"fold = {fold}").select(columns).collect()) == key(want.collect())
+        model = fit_clone_model(presence, train, gate)
+        for r in model.score(presence, folds.where(f"fold = {fold}")).collect():
+            assert abs(scores[r.repertoire_id].score - r.score) < 1e-6 and scores[r.repertoire_id].fold == fold
+    exchanges = got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges == 1

@@ -132,3 +132,45 @@ def test_only_first_lines_are_headers_and_unusable_files_are_not_read(spark, tmp
     (folder / "metadata.csv").write_text("repertoire_id,label_positive\nplain,True\n")
     gaps = {tuple(r) for r in rp.validate_inputs(spark, str(folder), []).collect()}
     assert ("missing", "unusable_file") in gaps and ("twice", "not_in_metadata") in gaps
+
+
+def test_store_reads_only_what_its_manifest_holds(spark, tmp_path):
+    store, built = sk.FeatureStore(spark, str(tmp_path / "store")), []
+
+    def build(names, n=2):
+        built.append(list(names))
+        return spark.createDataFrame([(d, i) for d in names if d != "empty" for i in range(n)], "dataset string, x int")
+
+    assert store.ensure("f", ["a", "empty"], build).count() == 2
+    assert store.ensure("f", ["a", "empty"], build).count() == 2 and built == [["a", "empty"]]  # a dataset without rows is not built again
+    # a write that was lost before its manifest: its rows are there, and are not read
+    build(["a", "b"]).write.partitionBy("dataset").parquet(f"{store.path('f')}/data/write_id=lost")
+    assert store.present("f", ["a", "b"]) == {"a"}
+    assert store.ensure("f", ["a", "b"], build).count() == 4 and built[-1] == ["b"]
+    # other settings are other features
+    assert store.ensure("f", ["a"], lambda names: build(names, 5), settings="k=4").count() == 5
+    assert store.ensure("f", ["a"], build).count() == 2 and store.read("f", settings="k=4").count() == 5
+    # the last write of a dataset counts
+    assert store.write("f", build(["a"], 7)).where("dataset = 'a'").count() == 7
+    assert store.read("f", ["empty"]).columns == ["x", "dataset"] or store.read("f", ["empty"]).count() == 0
+    with pytest.raises(LookupError):
+        store.read("never")
+
+
+def test_a_damaged_dataset_is_reported_and_the_rest_is_built(spark, tmp_path):
+    from bagscope.plans.features import DatasetFeatures
+
+    folders = {}
+    for name, header in (("good", "junction_aa\tv_call\tj_call"), ("bad", "something\telse\there"), ("fine", "v_call\tjunction_aa\tj_call")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "r1.tsv").write_text(f"{header}\nCASSF\tV1\tJ1\n")
+        folders[name] = str(folder)
+    folders["gone"] = str(tmp_path / "gone")
+    features = DatasetFeatures(sk.FeatureStore(spark, str(tmp_path / "store")), folders)
+    got = {r.dataset: r for r in features.build_each(features.sequences).collect()}
+    assert {n: (r.built, r.n_rows) for n, r in got.items()} == {"good": (True, 1), "fine": (True, 1), "bad": (False, None), "gone": (False, None)}
+    assert "InvalidInput" in got["bad"].error and got["gone"].error
+    assert features.sequences(["good", "fine"]).count() == 2
+    (tmp_path / "bad" / "r1.tsv").write_text("junction_aa\tv_call\tj_call\nCASSF\tV1\tJ1\n")
+    assert features.build_each(features.sequences, ["bad"]).first().built
