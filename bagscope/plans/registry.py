@@ -726,9 +726,12 @@ def baseline_classifier(spark, sf_dir):
 
 @query
 def kmer_c_grid(spark, sf_dir):
-    """Mean AUC over five folds for every regularisation strength of the grid."""
-    vectors, _ = _kmer_vectors(spark, sf_dir)
-    return tr.search_c(vectors, STANDARD.c_grid)[1]
+    """Mean AUC over five folds for every regularisation strength of the grid, all folds along one path."""
+    counts = materialize(km.kmer_counts(tables.sequences(spark, sf_dir, "train"), STANDARD.k_list))
+    folds = materialize(fo.stratified_folds(tables.labels(spark, sf_dir)))
+    features = pl.fit_kmer_features(counts, folds, STANDARD)
+    values = km.align(counts, features.vocab).select("repertoire_id", F.col("idx").cast("bigint").alias("idx"), F.col("cnt").cast("double").alias("value"))
+    return tr.search_path(materialize(values), folds, STANDARD.c_grid)[1]
 
 
 @query
