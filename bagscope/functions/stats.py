@@ -26,46 +26,62 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= _LARGEST_EXACT, small).otherwise(series)
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-
 def fisher_greater(pos: Column, neg: Column, n_pos: Column, n_neg: Column) -> Column:
     """P(X >= pos) for X hypergeometric: Fisher's exact test, alternative "greater".
 
-    ``pos`` of ``n_pos`` positive and ``neg`` of ``n_neg`` negative samples carry the feature. Above the
-    mean the upper tail is summed outward from ``pos``; below it the lower tail is summed outward and
-    taken from one. Either way terms only shrink, so an underflowed first term means a true zero.
+    ``pos`` of ``n_pos`` positive and ``neg`` of ``n_neg`` negative samples carry the feature. All terms are taken
+    relative to that of ``pos``, by the exact ratio of neighbours, so no factorial is needed and nothing cancels:
+    with ``upper`` the sum from ``pos`` on and ``lower`` the sum below it, the result is upper / (upper + lower).
+
+    Away from the mode the ratio itself falls by a factor of at least exp(-1 / width^2) a step, so terms more than
+    10 widths beyond the mean and ``pos`` add less than exp(-50) of the largest and are left out; a ``pos`` more than
+    40 widths off the mean has a probability below exp(-800), or above one less that, which no double tells from 0 and 1.
+    The sums are thus as long as the width, at most the square root of the samples, not as long as the tail.
     """
     carriers = pos + neg
     total = n_pos + n_neg
-
-    def log_term(x: Column) -> Column:
-        return log_choose(n_pos, x) + log_choose(n_neg, carriers - x) - log_choose(total, carriers)
-
-    def tail(start: Column, stop: Column, step: int) -> Column:
-        def ratio(x: Column) -> Column:
-            if step > 0:
-                up, down = (n_pos - x) * (carriers - x), (x + 1) * (n_neg - carriers + x + 1)
-            else:
-                up, down = x * (n_neg - carriers + x), (n_pos - x + 1) * (carriers - x + 1)
-            return up.cast("double") / down.cast("double")
-
-        zero = F.struct(F.lit(0.0).alias("sum"), F.exp(log_term(start)).alias("term"))
-        return F.aggregate(
-            F.sequence(start, stop, F.lit(step).cast("long")),
-            zero,
-            lambda acc, x: F.struct(
-                (acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * ratio(x)).alias("term")
-            ),
-            lambda acc: acc["sum"],
-        )
-
     lowest = F.greatest(F.lit(0).cast("long"), carriers - n_neg)
     highest = F.least(n_pos, carriers)
-    above_mean = pos * total > carriers * n_pos
+    mean = carriers.cast("double") * n_pos.cast("double") / total.cast("double")
+
+    # 1/(n_pos-x) + 1/(x+1) + 1/(carriers-x) + 1/(n_neg-carriers+x+1) is the fall of the log ratio; two ways to pair
+    # its parts give two lower bounds that hold for every x
+    def bound(n: Column, m: Column) -> Column:
+        return F.lit(4.0) / (n + 1).cast("double") + F.lit(4.0) / (m + 1).cast("double")
+
+    width = F.lit(1.0) / F.sqrt(F.greatest(bound(n_pos, n_neg), bound(carriers, total - carriers)))
+    off = pos.cast("double") - mean
+    reach = F.lit(10.0) * width + 3
+
+    def ratio_up(x: Column) -> Column:
+        """Term x + 1 over term x."""
+        up = (n_pos - x).cast("double") * (carriers - x).cast("double")
+        return up / ((x + 1).cast("double") * (n_neg - carriers + x + 1).cast("double"))
+
+    def ratio_down(x: Column) -> Column:
+        """Term x - 1 over term x."""
+        down = x.cast("double") * (n_neg - carriers + x).cast("double")
+        return down / ((n_pos - x + 1).cast("double") * (carriers - x + 1).cast("double"))
+
+    def beyond(steps: Column, ratio, direction: int) -> Column:
+        """Sum of the ``steps`` terms after that of ``pos``, which is one."""
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
+
+        def step(acc: Column, i: Column) -> Column:
+            term = acc["term"] * ratio(pos + F.lit(direction) * i)
+            return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
+
+        summed = F.aggregate(F.sequence(F.lit(0).cast("long"), steps - 1), zero, step, lambda acc: acc["sum"])
+        return F.when(steps > 0, summed).otherwise(F.lit(0.0))
+
+    def steps(room: Column, past_mean: Column) -> Column:
+        return F.least(room, F.ceil(reach + F.greatest(F.lit(0.0), past_mean)))
+
+    upper = F.lit(1.0) + beyond(steps(highest - pos, -off), ratio_up, 1)
+    lower = beyond(steps(pos - lowest, off), ratio_down, -1)
     return (
         F.when(pos <= lowest, F.lit(1.0))
-        .when(above_mean, F.least(F.lit(1.0), tail(pos, highest, 1)))
-        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - tail(pos - 1, lowest, -1)))
+        .when(off > F.lit(40.0) * width + 3, F.lit(0.0))
+        .when(off < F.lit(-40.0) * width - 3, F.lit(1.0))
+        .otherwise(F.lit(1.0) / (F.lit(1.0) + lower / upper))
     )

@@ -1,3 +1,4 @@
+import decimal
 import math
 
 import pytest
@@ -38,6 +39,52 @@ def test_fisher_far_below_the_mean_does_not_underflow(spark):
     assert p == pytest.approx(1.0)
 
 
+def decimal_p(pos, neg, n_pos, n_neg):
+    """The same by all terms relative to that of ``pos``, with 60 digits."""
+    carriers, one = pos + neg, decimal.Decimal(1)
+    with decimal.localcontext(prec=60, Emax=10**9, Emin=-(10**9)):
+        upper, lower, term = one, one * 0, one
+        for x in range(pos, min(n_pos, carriers)):
+            term = term * ((n_pos - x) * (carriers - x)) / ((x + 1) * (n_neg - carriers + x + 1))
+            upper += term
+        term = one
+        for x in range(pos, max(0, carriers - n_neg), -1):
+            term = term * (x * (n_neg - carriers + x)) / ((n_pos - x + 1) * (carriers - x + 1))
+            lower += term
+        return float(upper / (upper + lower))
+
+
+def test_fisher_at_a_million_labels(spark):
+    half = 500_000
+    few = [(40, 3, half, half), (150, 50, half, half), (30, 170, 100_000, 900_000)]
+    many = [(1_050, 950, half, half), (1_000, 1_000, half, half), (100_300, 99_700, half, half), (251_000, 249_000, half, half), (249_000, 251_000, half, half), (252_500, 247_500, half, half),
+            (20_400, 180_000, 100_000, 900_000)]
+    df = spark.createDataFrame(few + many, "pos long, neg long, np long, nn long")
+    args = [F.col(c) for c in ("pos", "neg", "np", "nn")]
+    rows = {tuple(r)[:4]: r["p"] for r in df.withColumn("p", fisher_greater(*args)).collect()}
+    for case in few:
+        assert rows[case] == pytest.approx(exact_p(*case), rel=1e-12), case
+    for case in many:
+        assert rows[case] == pytest.approx(decimal_p(*case), rel=1e-12), case
+    far = spark.createDataFrame([(400_000, 100_000, half, half), (100_000, 400_000, half, half)], "pos long, neg long, np long, nn long")
+    assert [r[0] for r in far.select(fisher_greater(*args)).collect()] == [0.0, 1.0]
+
+
+def test_fisher_sums_no_more_than_its_width(spark):
+    case = spark.createDataFrame([(251_000, 249_000, 500_000, 500_000)], "pos long, neg long, np long, nn long")
+    p = fisher_greater(*[F.col(c) for c in ("pos", "neg", "np", "nn")])
+    seen = []
+    plain = F.sequence
+    try:
+        F.sequence = lambda start, stop, *step: seen.append((start, stop)) or plain(start, stop, *step)
+        fisher_greater(*[F.col(c) for c in ("pos", "neg", "np", "nn")])
+    finally:
+        F.sequence = plain
+    lengths = case.select(*[stop - start + 1 for start, stop in seen]).first()
+    assert len(lengths) == 2 and max(lengths) < 10_000  # the tail has 249,001 terms
+    assert 0 < case.select(p).first()[0] < 1
+
+
 def test_presence_and_counts_are_null_safe(tiny, tiny_labels):
     presence = cl.clone_presence(tiny)
     assert presence.count() == 9  # one repeated clone counts once
