@@ -2,21 +2,25 @@
 
 The tree is fitted on the driver on a bounded sample; every vector is put into a leaf. A query visits
 leaves in the order of a priority queue over the tree, as many as a calibration against exact search over all
-rows found to be needed for the wanted recall.
+rows found to be needed for the wanted recall, and more where these hold too few rows. Vectors of different
+lengths have no cosine, so each length has a tree of its own.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagscope.llm.base import small_batches
+from bagscope.operators.joins import lookup_join
 from bagscope.session import materialize
 
 
@@ -35,12 +39,20 @@ class Settings:
     seed: int = 3
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is about one and no square leaves the range of doubles."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
 def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines in double precision; equal vectors give equal values wherever they stand."""
+    queries, rows = scaled(queries), scaled(rows)
     dots = np.einsum("ik,jk->ij", queries, rows)
     lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     return dots / (np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None] * lengths[None])
@@ -55,6 +67,8 @@ class Tree:
         self.leaf: list[int] = []
         self.leaves = 0
         self.stacked: list[np.ndarray | None] = []
+        #: Ids of each leaf over all rows, an id of several leaves counted in the first alone.
+        self.held: np.ndarray | None = None
 
     def _add(self, centre: np.ndarray) -> int:
         self.centres.append(centre)
@@ -109,13 +123,17 @@ class Tree:
             stack += [(child, rows[near == i]) for i, child in enumerate(self.children[node]) if (near == i).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order: the queue gives the unexpanded node nearest to the query."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+    def visits(self, query: np.ndarray, most: int, enough: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: the queue gives the unexpanded node nearest to the query.
+
+        There are ``most``, and more until they hold ``enough`` ids.
+        """
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or held < enough):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 found.append(self.leaf[node])
+                held += int(self.held[self.leaf[node]]) if enough else 0
                 continue
             away = ((self.stacked[node] - query) ** 2).sum(axis=1)
             for d, child in zip(away.tolist(), self.children[node]):
@@ -131,14 +149,26 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and ``v`` (array of double) of the vectors that take part.
 
     Null, empty and zero vectors, vectors with a null or non-finite component, and rows without an id take no part.
-    Where lengths differ, only the most frequent length does (of equally frequent ones the longest).
     """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(~bad & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["size"] if sizes else 0))
+    return rows.where(~bad & F.exists("v", lambda x: x != 0))
+
+
+def by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The length, the places and the matrix of the vectors of each length in a column."""
+    widths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        own = column if len(at) == len(widths) else column.take(pa.array(at))
+        yield width, at, own.flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+
+
+def _apart(frame: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each length."""
+    widths = frame["v"].map(len).to_numpy()
+    return {w: (frame["vec_id"].to_numpy(np.int64)[widths == w], np.stack(frame["v"][widths == w])) for w in np.unique(widths).tolist()}
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -167,36 +197,44 @@ def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows
 SCORED = "query_id bigint, vec_id bigint, score double"
 
 
-def exact(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """Exact search of a bounded set of queries over all rows: each task keeps its k best of each query."""
-    shared = rows.sparkSession.sparkContext.broadcast((query_ids, queries))
+def exact(rows: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """Exact search of a bounded set of queries (by length) over all rows: each task keeps its k best of each query."""
+    shared = rows.sparkSession.sparkContext.broadcast(queries)
 
     def mapped(batches):
-        own_ids, own = shared.value
         best = None
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            values = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
-            frame = block_best(own_ids, own, ids, values, k)
-            best = frame if best is None else _best(pd.concat([best, frame]), k)
+            for width, at, values in by_width(batch.column("v")):
+                if width in shared.value:
+                    frame = block_best(*shared.value[width], ids[at], values, k)
+                    best = frame if best is None else _best(pd.concat([best, frame]), k)
         if best is not None and len(best):
             yield pa.RecordBatch.from_pandas(best[["query_id", "vec_id", "score"]], preserve_index=False)
 
     return ranked(rows.mapInArrow(mapped, SCORED), k).select("query_id", "vec_id", "score").toPandas()  # queries x k
 
 
-def calibrate(tree: Tree, rows: DataFrame, probes: pd.DataFrame, settings: Settings) -> int:
+def calibrate(trees: dict[int, Tree], rows: DataFrame, probes: pd.DataFrame, settings: Settings) -> int:
     """The least number of leaves to visit for the wanted recall of the probes against exact search over all rows."""
+    probes = probes[probes["v"].map(len).isin(trees)]
     if not len(probes):
         return 1
-    ids, vectors = probes["vec_id"].to_numpy(np.int64), np.stack(probes["v"])
-    truth = exact(rows, ids, vectors, settings.neighbours)
+    asked = _apart(probes)
+    truth = exact(rows, asked, settings.neighbours)
     if not len(truth):
         return 1
-    wanted = rows.join(F.broadcast(rows.sparkSession.createDataFrame(pd.DataFrame({"vec_id": truth["vec_id"].unique()}))), "vec_id").toPandas()
-    leaf_of = dict(zip(wanted["vec_id"], tree.assign(units(np.stack(wanted["v"])))))
-    place = {q: {leaf: n for n, leaf in enumerate(tree.visits(u, tree.leaves))} for q, u in zip(ids, units(vectors))}
-    needed = np.sort([place[q][leaf_of[v]] + 1 for q, v in zip(truth["query_id"], truth["vec_id"])])
+    listed = rows.sparkSession.createDataFrame(pd.DataFrame({"vec_id": truth["vec_id"].unique()}))  # probes x neighbours ids
+    wanted = rows.where(F.size("v").isin(list(asked))).join(F.broadcast(listed), "vec_id").toPandas()
+    leaf_of = {
+        (w, v): leaf for w, (ids, vectors) in _apart(wanted).items() for v, leaf in zip(ids.tolist(), trees[w].assign(units(vectors)).tolist())
+    }
+    place = {
+        q: (w, {leaf: n for n, leaf in enumerate(trees[w].visits(u, trees[w].leaves))})
+        for w, (ids, vectors) in asked.items()
+        for q, u in zip(ids.tolist(), units(vectors))
+    }
+    needed = np.sort([place[q][1][leaf_of[place[q][0], v]] + 1 for q, v in zip(truth["query_id"], truth["vec_id"])])
     return int(needed[min(len(needed) - 1, int(np.ceil(settings.recall * len(needed))) - 1)])
 
 
@@ -204,54 +242,70 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
     """query_id, rank, vec_id and score of the nearest rows found for each query.
 
     ``queries`` are rows of the same columns; a query's own id is not among its neighbours. A query id given
-    twice is answered once, a row given twice counts once. Both tables are dealt by leaf in blocks of
-    ``block`` rows or queries, so a leaf with a third of all rows is many tasks; the best of all blocks are
-    ranked again by query. With fewer candidates found than ``neighbours`` all are given. Empty tables give none.
+    twice is answered once, by the smallest of its vectors; a row given twice counts once. A query is compared
+    with the rows of its vector's length. Both tables are dealt by leaf in blocks of ``block`` rows or queries,
+    so a leaf with a third of all rows is many tasks; the best of all blocks are ranked again by query. A query
+    has ``neighbours`` rows, or all if there are fewer. Empty tables give none.
     """
-    small_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    small_batches(spark)
     k = settings.neighbours
     rows = materialize(usable(vectors))
-    asked = materialize(usable(queries).dropDuplicates(["vec_id"]))
+    asked = materialize(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
     n = rows.count()
     if not n or asked.isEmpty():
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toPandas()
     share = min(1.0, settings.sample / n)
-    tree = Tree.fit(units(np.stack(drawn["v"])), max(8, int(settings.leaf * share)), settings)
-    width = len(drawn["v"].iloc[0])
-    asked = asked.where(F.size("v") == width)
+    leaf = max(8, int(settings.leaf * share))
+    trees = {width: Tree.fit(units(sample), leaf, settings) for width, (_, sample) in _apart(drawn).items()}
     probes = asked.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(settings.probes).toPandas()
-    visits = calibrate(tree, rows, probes, settings)
-    shared = rows.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
+    visits = calibrate(trees, rows, probes, settings)
+    shared = spark.sparkContext.broadcast(trees)  # bounded by the sample; a length that is not in it is one leaf
 
     def placed(batches):
         for batch in batches:
-            values = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
-            yield batch.append_column("leaf", pa.array(shared.value.assign(units(values))))
+            leaves, widths = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+            for width, at, values in by_width(batch.column("v")):
+                widths[at] = width
+                if width in shared.value:
+                    leaves[at] = shared.value[width].assign(units(values))
+            yield batch.append_column("width", pa.array(widths)).append_column("leaf", pa.array(leaves))
+
+    schema = "vec_id bigint, v array<double>, width int, leaf int"
+    dealt = materialize(rows.select("vec_id", "v").mapInArrow(_filled(placed), schema))
+    branched = [width for width, tree in trees.items() if tree.leaves > 1]
+    homes = dealt.where(F.col("width").isin(branched)).groupBy("width", "vec_id").agg(F.min("leaf").alias("leaf"))
+    for tree in trees.values():
+        tree.held = np.zeros(tree.leaves, np.int64)
+    for row in homes.groupBy("width", "leaf").agg(F.count("*").alias("n")).collect():  # a row per leaf of the trees
+        trees[row["width"]].held[row["leaf"]] = row["n"]
+    counted = spark.sparkContext.broadcast(trees)
 
     def routed(batches):
         for batch in batches:
-            values = units(np.stack(batch.column("v").to_numpy(zero_copy_only=False)))
-            found = [shared.value.visits(u, visits) for u in values]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield batch.take(pa.array(at)).append_column("leaf", pa.array(np.concatenate(found).astype(np.int32)))
+            for width, at, values in by_width(batch.column("v")):
+                tree = counted.value.get(width)
+                found = [[0]] * len(at) if tree is None else [tree.visits(u, visits, k + 1) for u in units(values)]
+                own = batch.take(pa.array(np.repeat(at, [len(f) for f in found])))
+                own = own.append_column("width", pa.array(np.full(own.num_rows, width, np.int32)))
+                yield own.append_column("leaf", pa.array(np.concatenate(found).astype(np.int32)))
 
-    schema = "vec_id bigint, v array<double>, leaf int"
-    dealt = materialize(rows.mapInArrow(_filled(placed), schema))
     routes = materialize(asked.select("vec_id", "v").mapInArrow(_filled(routed), schema))
-    sizes = dealt.groupBy("leaf").agg(F.count("*").alias("rows")).join(routes.groupBy("leaf").agg(F.count("*").alias("queries")), "leaf", "left")
-    parts = F.broadcast(  # one row per leaf, and the leaves are bounded by the sample
+    at_leaf = ["width", "leaf"]
+    sizes = dealt.groupBy(*at_leaf).agg(F.count("*").alias("rows")).join(routes.groupBy(*at_leaf).agg(F.count("*").alias("queries")), at_leaf)
+    parts = materialize(
         sizes.select(
-            "leaf",
+            *at_leaf,
             F.ceil(F.col("rows") / settings.block).cast("int").alias("row_parts"),
-            F.ceil(F.greatest(F.coalesce("queries", F.lit(1)), F.lit(1)) / settings.block).cast("int").alias("query_parts"),
+            F.ceil(F.col("queries") / settings.block).cast("int").alias("query_parts"),
         )
     )
-    left = dealt.join(parts, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), "row_parts").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("q"), "vec_id", "v"
+    left = lookup_join(dealt, parts, at_leaf).select(
+        *at_leaf, F.pmod(F.xxhash64("vec_id"), "row_parts").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("q"), "vec_id", "v"
     )
-    right = routes.join(parts, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)).alias("r"), F.pmod(F.xxhash64("vec_id"), "query_parts").cast("int").alias("q"), F.col("vec_id").alias("query_id"), "v"
+    right = lookup_join(routes, parts, at_leaf).select(
+        *at_leaf, F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)).alias("r"), F.pmod(F.xxhash64("vec_id"), "query_parts").cast("int").alias("q"), F.col("vec_id").alias("query_id"), "v"
     )
 
     def compared(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +313,7 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         return block_best(given["query_id"].to_numpy(np.int64), np.stack(given["v"]), own["vec_id"].to_numpy(np.int64), np.stack(own["v"]), k)
 
-    keys = ["leaf", "r", "q"]
+    keys = [*at_leaf, "r", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compared, SCORED)
     return ranked(found, k)
 

@@ -309,6 +309,55 @@ def test_vectors_that_take_no_part(spark):
     assert neighbours.nearest_neighbours(frame.where("vec_id = 2")).count() == 0
 
 
+def exact_neighbours(data, k=5):
+    """Over (id, vector) rows: cosines of vectors divided by their largest component, within each length."""
+    clean = [(i, np.array(v) / np.max(np.abs(v))) for i, v in data]
+    out = {}
+    for q, u in clean:
+        if q % 50 == 0:
+            scored = {i: u @ w / np.sqrt((u @ u) * (w @ w)) for i, w in clean if i != q and len(w) == len(u)}
+            out[q] = sorted(scored, key=lambda i: (-round(scored[i], 12), i))[:k]
+    return out
+
+
+def found_neighbours(spark, data, settings=None):
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(frame, settings or neighbours.Settings()).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_vectors_of_any_length_and_size_are_answered(spark):
+    rng = np.random.default_rng(4)
+    long = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    short = [(i, rng.normal(size=3).tolist()) for i in range(400, 520)]  # queries of a length that is not the commonest
+    tiny = [(i, (rng.normal(size=5) * 1e-200).tolist()) for i in range(520, 640)]
+    huge = [(i, (rng.normal(size=6) * 1e200).tolist()) for i in range(640, 760)]
+    alone = [(1000, [1.0, 2.0])]
+    data = long + short + tiny + huge + alone
+    got, want = found_neighbours(spark, data), exact_neighbours(data)
+    assert got.keys() == want.keys() - {1000}  # no other vector of its length
+    assert all(got[q] == want[q] for q in got)
+
+
+def test_lengths_outside_the_sample_are_searched_whole(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=4 + i // 30).tolist()) for i in range(300)]
+    got, want = found_neighbours(spark, data, neighbours.Settings(sample=20)), exact_neighbours(data)
+    drawn_late = [q for q in want if got[q] == want[q]]
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values()) and drawn_late
+
+
+def test_leaves_of_few_rows_do_not_cost_neighbours(spark):
+    rng = np.random.default_rng(6)
+    outliers = [(50 * i, (10.0 * np.eye(40)[i]).tolist()) for i in range(40)]  # each far from all others
+    crowd = [(2001 + 2 * i, (np.ones(40) + 0.01 * rng.normal(size=40)).tolist()) for i in range(400)]
+    settings = neighbours.Settings(leaf=8, recall=0.01)  # one leaf is visited
+    got = found_neighbours(spark, outliers + crowd, settings)
+    assert len(got) == 40 and all(len(set(v)) == 5 for v in got.values())
+
+
 # ---- queries and pipeline
 
 
