@@ -18,6 +18,7 @@ NAMES = {
     "apache license 2 0": "Apache-2.0",
     "gnu general public license version 2": "GPL-2.0",
     "gnu general public license version 3": "GPL-3.0",
+    "gnu lesser general public license version 2 1": "LGPL-2.1",
     "gnu lesser general public license version 3": "LGPL-3.0",
     "gnu affero general public license version 3": "AGPL-3.0",
     "mozilla public license version 2 0": "MPL-2.0",
@@ -47,8 +48,25 @@ SENTENCES = {
     "gpl-grant-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-grant-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-grant-2.1": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-grant-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-grant-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl-form": "this source code form is subject to the terms of the mozilla public license v",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "unlicense-grant": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc0-waiver": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 
+# Where a sentence names somebody or something, any words may stand. The first matching pattern's part of a
+# normalised sentence is put as the known sentence has it; a name may hold a stop, so what stands before it may be cut off.
+SLOTS = [
+    ("^(.* )?nor the names? of (its|any|other|the|his|her|their) contributors may be used ", "neither the name of the copyright holder nor the names of its contributors may be used "),
+    ("^(.* )?the names? of .* may not be used to endorse ", "neither the name of the copyright holder nor the names of its contributors may be used to endorse "),
+    ("^.* is free software you can ", "this program is free software you can "),
+    ("^.* is distributed in the hope that ", "this program is distributed in the hope that "),
+    ("^to the extent possible under law .* has waived ", "to the extent possible under law the author has waived "),
+]
+
 # Ordered rules. A rule holds where its sentences occur in this order, other sentences between them or not.
 TEXT_RULES = [
     ("MIT", ["mit-grant", "mit-notice"]),
@@ -58,22 +76,32 @@ TEXT_RULES = [
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-as-is"]),
     ("GPL-3.0", ["gpl-grant-3", "gpl-warranty"]),
     ("GPL-2.0", ["gpl-grant-2", "gpl-warranty"]),
+    ("LGPL-2.1", ["lgpl-grant-2.1", "gpl-warranty"]),
+    ("LGPL-3.0", ["lgpl-grant-3", "gpl-warranty"]),
+    ("AGPL-3.0", ["agpl-grant-3", "gpl-warranty"]),
+    ("MPL-2.0", ["mpl-form", "mpl-copy"]),
+    ("Unlicense", ["unlicense-domain", "unlicense-grant"]),
+    ("CC0-1.0", ["cc0-waiver"]),
 ]
 # The parts that SENTENCE_END cuts the usual notices into, normalised. Notices differ in their marks ("free
 # software: you", "free software; you"; "Foundation, either", "Foundation; either"), so whole and cut ones stand here. Within
 # comments a line of nothing but the comment's mark is no blank line, and the address stays between two sentences.
 _APACHE_AT = [f"{SENTENCES['apache-copy']} {scheme} www apache org licenses license 2 0" for scheme in ("http", "https")]
-_GPL_FREE, _GPL_TERMS = "this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GPL_FREE, _GPL_TERMS = "this program is free software", "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
 _GPL_VERSION = "either version {} of the license or at your option any later version"
+GPL_FAMILY = {"gpl": ("", ("2", "3")), "lgpl": ("lesser ", ("2.1", "3")), "agpl": ("affero ", ("3",))}
+_TERMS = {family: _GPL_TERMS.format(word) for family, (word, _) in GPL_FAMILY.items()}
+_VERSIONS = {n: _GPL_VERSION.format(n.replace(".", " ")) for n in ("2", "2.1", "3")}
 PARTS = {
     "licensed under the apache license version 2 0 the license": "apache-grant:1",
     "you may not use this file except in compliance with the license": "apache-grant:2",
     **{at: "apache-copy" for at in _APACHE_AT},
     **{f"{at} {SENTENCES['apache-as-is']}": "apache-copy-as-is" for at in _APACHE_AT},
-    _GPL_TERMS: "gpl-terms",
-    f"{_GPL_FREE} {_GPL_TERMS}": "gpl-terms",
-    **{_GPL_VERSION.format(n): f"gpl-version-{n}" for n in "23"},
-    **{f"{_GPL_TERMS} {_GPL_VERSION.format(n)}": f"gpl-terms-{n}" for n in "23"},
+    **{terms: f"{family}-terms" for family, terms in _TERMS.items()},
+    **{f"{_GPL_FREE} {terms}": f"{family}-terms" for family, terms in _TERMS.items()},
+    **{version: f"gpl-version-{n}" for n, version in _VERSIONS.items()},
+    **{f"{_TERMS[family]} {_VERSIONS[n]}": f"{family}-terms-{n}" for family, (_, versions) in GPL_FAMILY.items() for n in versions},
+    **{f"if a copy of the mpl was not distributed with this file you can obtain one at {scheme} mozilla org mpl 2 0": "mpl-copy" for scheme in ("http", "https", "http www", "https www")},
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty:1",
     "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty:2",
 }
@@ -83,15 +111,18 @@ PART_RULES = [
     ("Apache-2.0", grant + rest)
     for grant, rest in product((["apache-grant"], ["apache-grant:1", "apache-grant:2"]), (["apache-copy", "apache-as-is"], ["apache-copy-as-is"]))
 ] + [
-    (f"GPL-{n}.0", grant + rest)
-    for n in "32"
-    for grant, rest in product(([f"gpl-grant-{n}"], [f"gpl-terms-{n}"], ["gpl-terms", f"gpl-version-{n}"]), (["gpl-warranty"], ["gpl-warranty:1", "gpl-warranty:2"]))
+    (f"{family.upper()}-{n if '.' in n else n + '.0'}", grant + rest)
+    for family, (_, versions) in GPL_FAMILY.items()
+    for n in versions
+    for grant, rest in product(
+        ([f"{family}-grant-{n}"], [f"{family}-terms-{n}"], [f"{family}-terms", f"gpl-version-{n}"]), (["gpl-warranty"], ["gpl-warranty:1", "gpl-warranty:2"])
+    )
 ]
 #: Where the first of these rules holds, the second, a part of it, is not reported.
 COVERS = [("BSD-3-Clause", "BSD-2-Clause")]
 
 #: Every known sentence holds one of these, so a text without any needs no splitting.
-TRIGGER = r"(?i)licens|permission|warrant|redistribut|copy[^a-z0-9]+of|(distributed|available|released)[^a-z0-9]+under"
+TRIGGER = r"(?i)licens|permission|warrant|redistribut|copy[^a-z0-9]+of|(distributed|available|released)[^a-z0-9]+under|unencumbered|free[^a-z0-9]+to[^a-z0-9]+copy|waived"
 SENTENCE_END = r"[.!?;:]+[ \t\r\n]+|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*"
 LINE_END = r"[ \t\r]*\n[ \t\r]*"
 
@@ -107,11 +138,15 @@ def known_sentences() -> dict[str, str]:
 
 
 def rules() -> list[tuple[str, list[str]]]:
-    return TEXT_RULES + [(licence, [f"grant:{licence}"]) for licence in sorted(set(NAMES.values()))]
+    """The ordered rules; a licence named by several holds where any of them does."""
+    return TEXT_RULES + PART_RULES + [(licence, [f"grant:{licence}"]) for licence in sorted(set(NAMES.values()))]
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    out = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    for pattern, known in SLOTS:
+        out = F.regexp_replace(out, pattern, known)
+    return out
 
 
 def rule_pattern(ids: list[str]) -> str:
@@ -146,7 +181,7 @@ def scan(documents: DataFrame) -> DataFrame:
     found = own.withColumn("sentence_ids", sentence_ids(F.coalesce(F.col("text"), F.lit(""))))
     found = found.withColumn("_sequence", F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|")))
     held = {}
-    for licence, ids in rules() + PART_RULES:
+    for licence, ids in rules():
         test = F.col("_sequence").rlike(rule_pattern(ids))
         held[licence] = held[licence] | test if licence in held else test
     for larger, smaller in COVERS:
@@ -166,7 +201,7 @@ def licences(documents: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ",\n".join(f"('{text}', '{name}')" for text, name in sorted(known_sentences().items()))
+    known = ",\n".join(f"('{text}', '{name}')" for text, name in sorted((known_sentences() | PARTS).items()))
     held: dict[str, str] = {}
     for licence, ids in rules():
         test = f"regexp_matches(sequence, '{rule_pattern(ids)}')"
@@ -175,6 +210,8 @@ def _sql() -> str:
         held[smaller] = f"({held[smaller]}) AND (NOT ({held[larger]}) OR regexp_matches(sequence, '{rule_pattern([f'grant:{smaller}'])}'))"
     cases = ", ".join(f"CASE WHEN {held[licence]} THEN '{licence}' END" for licence in sorted(held))
     clean = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, text in SLOTS:
+        clean = f"regexp_replace({clean}, '{pattern}', '{text}')"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 numbered AS MATERIALIZED (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),

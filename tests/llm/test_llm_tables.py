@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -138,6 +139,76 @@ def test_punctuated_notices(spark):
     assert got == {i: c[1] for i, c in enumerate(cases)}
 
 
+BSD = """Copyright 2011 The Somebody Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+BSD_NAME = """   * Neither the name of {} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+BSD_AUTHOR = """3. The name of the author may not be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+CC0 = "To the extent possible under law, Jane Q. Doe has waived all copyright and related or neighboring rights to this work.\n"
+
+
+def every_notice():
+    """(text, licences) of every licence's usual notice, with names and marks as they are found."""
+    family = {"LGPL-2.1": ("Lesser ", "2.1", "library"), "LGPL-3.0": ("Lesser ", "3", "program"), "AGPL-3.0": ("Affero ", "3", "program")}
+    other = [
+        (GPL.format(*marks, n).replace("GNU General", f"GNU {word}General").replace("This program", f"This {noun}"), licence)
+        for licence, (word, n, noun) in family.items()
+        for marks in ((":", ","), (";", ";"))
+    ]
+    names = ["Google Inc.", "the copyright holder", "Foo, Bar & Co. Ltd.", "the University"]
+    return other + [
+        (APACHE, "Apache-2.0"), (GPL.format(":", ",", 3), "GPL-3.0"), (GPL.format(";", ";", 2), "GPL-2.0"),
+        (GPL.format(":", ",", 3).replace("This program", "Foo Bar"), "GPL-3.0"),
+        (BSD, "BSD-2-Clause"), (BSD + BSD_AUTHOR, "BSD-3-Clause"), *[(BSD + BSD_NAME.format(name), "BSD-3-Clause") for name in names],
+        (MPL, "MPL-2.0"), (MPL.split("If a")[0], ""), (UNLICENSE, "Unlicense"), (UNLICENSE.split("Anyone")[0], ""), (CC0.replace("Q. ", ""), "CC0-1.0"),
+        (text_of("mit-grant", "mit-notice", "as-is"), "MIT"), (text_of("isc-grant"), "ISC"), ("Released under the CC BY 4.0.", "CC-BY-4.0"),
+    ]
+
+
+def test_every_notice_is_known_to_the_query_and_its_sql(spark):
+    comment = lambda text: "".join(f"// {line}".rstrip() + "\n" for line in text.split("\n"))
+    cases = [(shape(text), licence) for text, licence in every_notice() for shape in (str, comment, lambda t: " ".join(t.split()))]
+    texts = [c[0] for c in cases] + [None, "", BSD_NAME.format("x"), "\n\n".join(text for text, _ in every_notice())]
+    frame = spark.createDataFrame(rows(texts), SCHEMA)
+    got = licences.licences(frame).toPandas()
+    assert dict(zip(got["doc_id"], got["licences"])) == {i: c[1] for i, c in enumerate(cases)} | {
+        len(cases): "", len(cases) + 1: "", len(cases) + 2: "",
+        len(cases) + 3: "AGPL-3.0,Apache-2.0,BSD-3-Clause,CC-BY-4.0,CC0-1.0,GPL-2.0,GPL-3.0,ISC,LGPL-2.1,LGPL-3.0,MIT,MPL-2.0,Unlicense",
+    }
+    con = duckdb.connect()
+    documents = frame.toPandas()  # noqa: F841 - read by name
+    con.execute("CREATE TABLE documents AS SELECT * FROM documents")
+    want = con.execute(licences.SQL).fetchdf()
+    columns = ["doc_id", "n_known", "sentence_ids", "licences"]
+    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want[columns].itertuples(index=False, name=None))
+
+
 # ---- mixing
 
 
