@@ -432,6 +432,47 @@ def test_leaves_of_few_rows_do_not_cost_neighbours(spark):
 # ---- queries and pipeline
 
 
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def folder_of(spark, tmp_path, docs, labels=()):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_near_duplicates_go_by_row(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    data = [(7, words, "a"), (3, words, "b"), (3, "a clean text under a key that a copy has too", "c"), (3, words, "d"), (None, words, "e"),
+            (None, "only without a key", "f"), (None, "only without a key", "g"), (8, "", "h"), (9, None, "i"), (10, "  ", "j")]
+    docs = spark.createDataFrame([(k, t, "en", s, None if t is None else len(t), k) for k, t, s in data], SCHEMA.replace("extra string", "row bigint"))
+    kept = stage("near_duplicates")(spark, docs, "")
+    assert kept.columns == corpus_pipeline.COLUMNS
+    left = sorted((r.source for r in kept.collect()))
+    assert [s for s in left if s in "abde"] in (["b"], ["d"])
+    assert "c" in left and len(set(left) & set("fg")) == 1 and [s for s in left if s in "hij"] == ["h"]
+    assert len(left) == 4
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, odd, tmp_path):
+    clash = odd.withColumn("row", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("toxicity", F.lit(0.9)).withColumn("_path", F.lit("x"))
+    folder = folder_of(spark, tmp_path, clash)
+    kept = clash
+    counts = {}
+    for name, apply in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.materialize(apply(spark, kept, folder))
+        counts[name] = kept.count()
+        assert name == "pieces" or kept.columns == corpus_pipeline.COLUMNS
+    assert counts["toxicity"] == odd.count()  # nothing is labelled
+    # the three empty texts are one group, and so are the three rows of the repeated text
+    assert counts["near_duplicates"] == counts["secrets"] == odd.count() - 4
+    assert counts["mixing"] >= counts["secrets"] and counts["pieces"] == counts["mixing"]
+    none = clash.limit(0)
+    for name, apply in corpus_pipeline.STAGES:
+        assert apply(spark, none, folder).count() == 0, name
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not here")
 def test_pipeline_stages_against_their_operators(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
