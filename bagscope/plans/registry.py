@@ -25,6 +25,7 @@ from bagscope.operators import importance as im
 from bagscope.operators import kmers as km
 from bagscope.operators import metrics as me
 from bagscope.operators import pooling as po
+from bagscope.operators import ranking as rk
 from bagscope.plans import pipeline as pl
 from bagscope.plans import tables
 from bagscope.plans.config import CONFIGS, STANDARD
@@ -677,6 +678,49 @@ def submission_roundtrip(spark, sf_dir):
     return spark.read.options(header="true", quote='"', escape='"').schema(schema).csv(path)
 
 
+@query
+def repertoire_id_list(spark, sf_dir):
+    """Ids that a metadata file lists."""
+    return rp.repertoire_ids(spark, "", _customer_metadata(spark, sf_dir))
+
+
+@query
+def clone_artefact(spark, sf_dir):
+    """Clone statistics written as a table and read back, with the reason why each clone was kept or dropped."""
+    path = _scratch(spark, "clones")
+    sk.save_clone_stats(_clone_stats(spark, sf_dir, RELAXED), path)
+    return spark.read.parquet(path).select(*CLONE, "pos", "neg", _r("p_value", 9), "reason")
+
+
+@query
+def submission_order(spark, sf_dir):
+    """The place of every row of a submission, counted through its files in the order of their names."""
+    predictions = [_predictions(spark, sf_dir, m, f"test_dataset_{m}") for m in ("words", "size")]
+    kept = cl.index_clones(cl.kept_clones(_clone_stats(spark, sf_dir)))
+    sequences = im.as_result_rows(kept.withColumn("rank", F.col("idx") + 1), "train_dataset_1")
+    path = _scratch(spark, "submission")
+    sk.save_submission(predictions, [sequences], path)
+    schema = ", ".join(f"{c} string" for c in tx.RESULT_COLUMNS)
+    lines = spark.read.options(header="true", quote='"', escape='"').schema(schema).csv(path).select(
+        "ID", "dataset", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    order = [F.col(c) for c in ("file", "block", "line")]
+    return rk.ordered_index(materialize(lines), order, "place").select("ID", "dataset", "place")
+
+
+@query
+def labelled_vector_folds(spark, sf_dir):
+    """Vectors with the label and the fold of their id, joined by key; ids without a label or a vector drop out."""
+    vectors = tables.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("repertoire_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    labelled = rp.with_label(vectors, tables.labels(spark, sf_dir))
+    folds = fo.stratified_folds(tables.labels(spark, sf_dir)).select("repertoire_id", "fold")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return labelled.join(folds, "repertoire_id").select("repertoire_id", "label", "fold", F.round(total, 4).alias("total"))
+
+
 # --- models (no SQL equivalent) -----------------------------------------------------------------
 
 
@@ -842,3 +886,38 @@ def pipeline_predictions(spark, sf_dir):
     test = _document_ids(spark, sf_dir).join(labels, "repertoire_id", "left_anti")
     predictions = fitted.predict(sequences, test)
     return im.fill_sentinels(im.union_results([predictions], [fitted.important_sequences(sequences, "train_dataset_4")]))
+
+
+def _whole_pipeline(spark, sf_dir, name):
+    """(ID, dataset, scored, clone columns): the result rows of a pipeline fitted on the labelled documents, predicting the others.
+
+    ``scored`` says whether a row holds a probability; the probability itself is left out, for SQL can't fit models.
+    """
+    sequences = materialize(tables.sequences(spark, sf_dir))
+    labels = materialize(tables.labels(spark, sf_dir))
+    embeddings = materialize(encoder.embed_sequences(sequences))
+    fitted = pl.fit(sequences, labels, CONFIGS[name], embeddings)
+    test = _document_ids(spark, sf_dir).join(labels, "repertoire_id", "left_anti")
+    predictions = fitted.predict(sequences, test, embeddings, f"test_dataset_{name}")
+    important = fitted.important_sequences(sequences, f"train_dataset_{name}", labels=labels)
+    rows = im.union_results([predictions], [important])
+    scored = F.coalesce(F.col("label_positive_probability").between(0, 1), F.lit(False))
+    return materialize(rows.select("ID", "dataset", scored.alias("scored"), *CLONE))
+
+
+@query
+def pipeline_blended(spark, sf_dir):
+    """The pipeline of a kernel machine on embeddings blended with k-mer frequencies; the enriched clones are its answer."""
+    return _whole_pipeline(spark, sf_dir, "8")
+
+
+@query
+def pipeline_stacked(spark, sf_dir):
+    """The pipeline that stacks k-mer, clone and embedding models under one meta-learner."""
+    return _whole_pipeline(spark, sf_dir, "7")
+
+
+@query
+def pipeline_standard(spark, sf_dir):
+    """The pipeline that searches all grids and selects among its models; its sequences are ranked by k-mer weights."""
+    return _whole_pipeline(spark, sf_dir, "standard").select("ID", "dataset", "scored")
