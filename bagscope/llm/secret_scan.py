@@ -13,8 +13,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A whole run of token characters with at least one digit. The guards make every run be read once.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{12,}+={0,2}"
 CONTEXT = 48
 REPLACEMENT = "[SECRET]"
 
@@ -23,6 +21,19 @@ CREDENTIAL_WORDS = ["token", "secret", "password", "passwd", "pwd", "apikey", "a
 OTHER_WORDS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "etag", "revision", "build", "version", "id", "isbn", "order", "serial"]
 SAMPLE_PATHS = ["test", "spec", "example", "sample", "mock", "fixture", "docs"]
 
+#: A whole run of token characters with at least one digit. The guards make every run be read once.
+RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{12,}+={0,2}"
+#: What is assigned to a name that ends in a credential word: six characters or more, of any kind but white space, quotes
+#: and commas, up to the next parameter of an address. The short guards first, so that names are compared after a sign only.
+ASSIGNMENT = (
+    r"(?<=[=:>\s\"'`])(?<=[=:]>?[ \t]{0,2}[\"'`]?)(?<=(?i:" + "|".join(CREDENTIAL_WORDS) + r")[\"']?[ \t]{0,2}[=:]>?[ \t]{0,2}[\"'`]?)"
+    r"(?![=:>])(?=[^\s\"'`,;]{6})[^\s\"'`,;&]{3,}+(?:&(?![A-Za-z_]+=)[^\s\"'`,;&]*+){0,8}+"
+)
+CANDIDATE = f"{ASSIGNMENT}|{RUN}"
+
+# What stands where a secret would, in documentation and forms.
+PLAIN_VALUES = ["required", "enabled", "disabled", "string", "optional", "missing", "example", "default", "changeme", "undefined", "invalid", "expired"]
+
 ASSIGNED = r"[=:]>?\s*[\"'`]?$"
 FEATURES = ["size", "runs", "digits", "hexadecimal", "upper", "dots", "vowel_pairs", "coverage", "credential", "other", "assigned", "quoted", "sample_path"]
 
@@ -43,16 +54,32 @@ def _any(words: list[str]) -> str:
     return "(?i)(?<![a-z])(" + "|".join(words) + ")(?![a-z])"
 
 
+def _near(before: Column) -> Column:
+    """What stands right before a value, in lower case, names in camel case parted by underscores."""
+    return F.lower(F.regexp_replace(F.right(before, F.lit(24)), "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def _before(pieces: Column, values: Column, k: Column) -> Column:
+    """The text before value ``k``, of the value before it too."""
+    return F.right(F.concat(F.coalesce(F.get(values, k - 1), F.lit("")), F.get(pieces, k)), F.lit(CONTEXT))
+
+
 def candidates(text: Column) -> Column:
     """An array of (value, before, after) of a text, in order; an empty array for null."""
     text = F.coalesce(text, F.lit(""))
-    pieces = F.split(text, CANDIDATE)
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
-        lambda v, k: F.struct(
-            v.alias("value"), F.right(F.get(pieces, k), F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, k + 1), F.lit(CONTEXT)).alias("after")
-        ),
-    )
+    cut = F.struct(F.split(text, CANDIDATE).alias("pieces"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"))
+
+    def described(own: Column) -> Column:
+        return F.transform(
+            own["values"],
+            lambda v, k: F.struct(
+                v.alias("value"),
+                _before(own["pieces"], own["values"], k).alias("before"),
+                F.left(F.get(own["pieces"], k + 1), F.lit(CONTEXT)).alias("after"),
+            ),
+        )
+
+    return F.get(F.transform(F.array(cut), described), F.lit(0))  # bound to a variable, so that a text is cut once
 
 
 def features(value: Column, before: Column, after: Column, path: Column, dictionary: list[str]) -> dict[str, Column]:
@@ -65,7 +92,7 @@ def features(value: Column, before: Column, after: Column, path: Column, diction
         return (size - F.length(F.regexp_replace(value, pattern, ""))) / size
 
     words = "|".join(sorted(dictionary, key=lambda w: (-len(w), w))) or "(?!)"
-    near = F.lower(F.right(before, F.lit(24)))
+    near = _near(before)
     return {
         "size": size,
         "runs": (F.length(F.regexp_replace(value, "[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+", "#")) - 1) / size,
@@ -87,16 +114,24 @@ def seed_findings(spark: SparkSession) -> DataFrame:
     """Labelled findings made by rule: each naming word before values of several shapes, taken from md5 sums.
 
     A value assigned to a credential's name is a true finding (1); the same shapes under the name of a
-    checksum, commit or identifier, host names and numbers are false ones (0).
+    checksum, commit or identifier, host names, numbers and plain words are false ones (0). Every other name is
+    the end of a longer one in camel case.
     """
     names = F.array(*[F.struct(F.lit(w).alias("name"), F.lit(1).alias("label")) for w in CREDENTIAL_WORDS], *[F.struct(F.lit(w).alias("name"), F.lit(0).alias("label")) for w in OTHER_WORDS])
     rows = spark.range(0, 12, numPartitions=1).select("id", F.explode(names).alias("n"))
     digest = F.md5(F.concat_ws(":", "n.name", F.col("id").cast("string")))
     mixed = F.translate(F.base64(F.unhex(digest)), "=", "")
+    mark = F.element_at(F.array(*[F.lit(m) for m in "&!@#"]), (F.col("id") % 4 + 1).cast("int"))
     shapes = F.array(
         F.struct(F.concat(digest, F.left(digest, F.lit(8))).alias("value"), F.col("n.label").alias("label")),
         F.struct(mixed.alias("value"), F.col("n.label").alias("label")),
         F.struct(F.left(mixed, F.lit(20)).alias("value"), F.col("n.label").alias("label")),
+        F.struct(F.concat(F.left(mixed, F.lit(6)), mark, F.right(digest, F.lit(3))).alias("value"), F.col("n.label").alias("label")),
+        F.struct(F.translate(mixed, "0123456789+/", "qzxkvjwhgfpd").alias("value"), F.col("n.label").alias("label")),
+        F.struct(F.lower(F.translate(mixed, "0123456789+/", "qzxkvjwhgfpd")).alias("value"), F.col("n.label").alias("label")),
+        F.struct(F.lower(F.left(F.translate(mixed, "+/", "37"), F.lit(10))).alias("value"), F.col("n.label").alias("label")),
+        F.struct(F.element_at(F.array(*[F.lit(w) for w in PLAIN_VALUES]), (F.col("id") % len(PLAIN_VALUES) + 1).cast("int")).alias("value"), F.lit(0).alias("label")),
+        F.struct(F.concat(F.lit("your_"), "n.name", F.lit("_here")).alias("value"), F.lit(0).alias("label")),
         F.struct(F.concat(F.lit("mail"), F.left(F.regexp_replace(digest, "[a-f]", ""), F.lit(2)), F.lit(".example.com")).alias("value"), F.lit(0).alias("label")),
         F.struct(F.left(F.regexp_replace(F.concat(digest, digest), "[a-f]", ""), F.lit(16)).alias("value"), F.lit(0).alias("label")),
     )
@@ -105,7 +140,7 @@ def seed_findings(spark: SparkSession) -> DataFrame:
     sign = F.element_at(signs, (F.col("id") % 3 + 1).cast("int"))
     return rows.select(
         F.col("s.value").alias("value"),
-        F.concat(F.lit("x "), "name", sign).alias("before"),
+        F.concat(F.lit("x "), F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("app"), F.initcap("name"))), sign).alias("before"),
         F.concat(F.right(sign, F.lit(1)), F.lit(" y")).alias("after"),
         F.lit("src").alias("path"),
         F.col("s.label").alias("label"),
@@ -121,7 +156,7 @@ def corpus_findings(documents: DataFrame, settings: Settings = Settings()) -> Da
     """
     path = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = documents.where(F.col("text").rlike("[0-9]")).select(F.explode(candidates(F.col("text"))).alias("c"), path.alias("path"))
-    near = F.lower(F.right("c.before", F.lit(24)))
+    near = _near(F.col("c.before"))
     named, other = near.rlike(_any(CREDENTIAL_WORDS)), near.rlike(_any(OTHER_WORDS))
     assigned = F.col("c.before").rlike(ASSIGNED)
     label = F.when(named & assigned & (F.length("c.value") >= 20), 1).when(~named & ~other & ~assigned, 0)
@@ -180,56 +215,65 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> Forest:
     return train(findings, dictionary(documents, settings), settings)
 
 
+def _free(name: str, taken: set[str]) -> str:
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scan(documents: DataFrame, forest: Forest, settings: Settings = Settings()) -> DataFrame:
     """``documents`` with ``findings`` (value, before, after, score, start, end) and ``redacted`` text.
 
     Findings are all candidates whose score reaches the threshold, with code-point offsets (end exclusive);
     ``redacted`` has each of them replaced, and ``n_candidates`` counts what was judged. A null text has no
-    findings and stays null; an empty one stays empty. Columns of these names are replaced; repeated rows
-    stay repeated.
+    findings and stays null; an empty one stays empty. Columns of these names are replaced, all others pass,
+    whatever they are called; repeated rows stay repeated.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [c for c in documents.columns if c not in ("findings", "redacted", "n_candidates")]
+    own = [c for c in documents.columns if c.lower() not in ("findings", "redacted", "n_candidates")]
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
-    found = documents.select(*own, F.split(text, CANDIDATE).alias("_pieces"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_values"), path.alias("_path"))
+    taken = {c.lower() for c in own}
+    pieces, values, place, scores, starts = (_free(c, taken) for c in ("_pieces", "_values", "_path", "_scores", "_starts"))
+    named = [F.col(f"`{c}`") for c in own]
+    found = documents.select(*named, F.split(text, CANDIDATE).alias(pieces), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias(values), path.alias(place))
 
     def before(k: Column) -> Column:
-        return F.right(F.get("_pieces", k), F.lit(CONTEXT))
+        return _before(F.col(pieces), F.col(values), k)
 
     def after(k: Column) -> Column:
-        return F.left(F.get("_pieces", k + 1), F.lit(CONTEXT))
+        return F.left(F.get(pieces, k + 1), F.lit(CONTEXT))
 
     described = F.transform(
-        "_values", lambda v, k: F.struct(*[c.alias(n) for n, c in features(v, before(k), after(k), F.col("_path"), forest.words).items()])
+        values, lambda v, k: F.struct(*[c.alias(n) for n, c in features(v, before(k), after(k), F.col(place), forest.words).items()])
     )
-    found = found.withColumn("_scores", F.transform(described, lambda named: forest.score(named)))
+    found = found.withColumn(scores, F.transform(described, lambda named: forest.score(named)))
     step = F.aggregate(
-        F.sequence(F.lit(0), F.size("_values") - 1),
+        F.sequence(F.lit(0), F.size(values) - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
         lambda state, k: F.struct(
-            (state["at"] + F.length(F.get("_pieces", k)) + F.length(F.get("_values", k))).alias("at"),
-            F.concat(state["starts"], F.array(state["at"] + F.length(F.get("_pieces", k)))).alias("starts"),
+            (state["at"] + F.length(F.get(pieces, k)) + F.length(F.get(values, k))).alias("at"),
+            F.concat(state["starts"], F.array(state["at"] + F.length(F.get(pieces, k)))).alias("starts"),
         ),
     )
-    found = found.withColumn("_starts", F.when(F.size("_values") > 0, step["starts"]).otherwise(F.array().cast("array<int>")))
+    found = found.withColumn(starts, F.when(F.size(values) > 0, step["starts"]).otherwise(F.array().cast("array<int>")))
     judged = F.transform(
-        "_values",
+        values,
         lambda v, k: F.struct(
-            v.alias("value"), before(k).alias("before"), after(k).alias("after"), F.get("_scores", k).alias("score"),
-            F.get("_starts", k).alias("start"), (F.get("_starts", k) + F.length(v)).alias("end"),
+            v.alias("value"), before(k).alias("before"), after(k).alias("after"), F.get(scores, k).alias("score"),
+            F.get(starts, k).alias("start"), (F.get(starts, k) + F.length(v)).alias("end"),
         ),
     )
-    kept = F.get("_scores", F.lit(0)).isNotNull() & (F.array_max("_scores") >= settings.threshold)
+    kept = F.get(scores, F.lit(0)).isNotNull() & (F.array_max(scores) >= settings.threshold)
     rebuilt = F.array_join(
         F.transform(
-            "_pieces",
-            lambda piece, k: F.concat(piece, F.when(F.get("_scores", k) >= settings.threshold, REPLACEMENT).otherwise(F.coalesce(F.get("_values", k), F.lit("")))),
+            pieces,
+            lambda piece, k: F.concat(piece, F.when(F.get(scores, k) >= settings.threshold, REPLACEMENT).otherwise(F.coalesce(F.get(values, k), F.lit("")))),
         ),
         "",
     )
     return found.select(
-        *own,
-        F.size("_values").alias("n_candidates"),
+        *named,
+        F.size(values).alias("n_candidates"),
         F.filter(judged, lambda x: x["score"] >= settings.threshold).alias("findings"),
         F.when(kept, rebuilt).otherwise(F.col("text")).alias("redacted"),
     )
