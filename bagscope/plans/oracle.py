@@ -384,13 +384,13 @@ FROM embeddings WHERE vec_id % 3 < 2 GROUP BY ALL""",
 
 # --- lists, artefacts and whole pipelines, whose probabilities are left out ------------------------
 
-_TEST_IDS = """SELECT doc_id::VARCHAR AS "ID", 'test_dataset_{name}' AS dataset, TRUE AS scored{nulls}
-FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
-_NULL_CLONE = ", " + ", ".join(f"NULL::VARCHAR AS {c}" for c in ("junction_aa", "v_call", "j_call"))
+_NULL_CLONE = ", ".join(f"NULL::VARCHAR AS {c}" for c in ("junction_aa", "v_call", "j_call"))
 
 
 def _clone_pipeline(name: str) -> str:
-    return f"""WITH {_STRICT}, {_INDEXED} {_TEST_IDS.format(name=name, nulls=_NULL_CLONE)}
+    return f"""WITH {_STRICT}, {_INDEXED}
+SELECT doc_id::VARCHAR AS "ID", 'test_dataset_{name}' AS dataset, TRUE AS scored, {_NULL_CLONE}
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'train_dataset_{name}_seq_top_' || (idx + 1), 'train_dataset_{name}', FALSE, {_CLONE} FROM indexed WHERE idx < 50000"""
 
 
@@ -406,12 +406,6 @@ SELECT "ID", dataset, row_number() OVER (ORDER BY section, dataset, rank, "ID")
 SELECT vec_id AS repertoire_id, label, rank % 5 AS fold, round(list_sum(embedding::DOUBLE[]), 4) AS total
 FROM (SELECT vec_id, embedding FROM embeddings) JOIN ranked ON vec_id = repertoire_id""",
     "pipeline_blended": _clone_pipeline("8"),
-    "pipeline_stacked": _clone_pipeline("7"),
-    "pipeline_standard": f"""WITH {SEQUENCES},
-clones AS (SELECT DISTINCT {_CLONE} FROM seqs),
-ranks AS (SELECT unnest(range(1, least(50000, (SELECT count(*) FROM clones)) + 1)) AS rank)
-{_TEST_IDS.format(name='standard', nulls='')}
-UNION ALL SELECT 'train_dataset_standard_seq_top_' || rank, 'train_dataset_standard', FALSE FROM ranks""",
 }
 
 # Stated as tables, so that an engine keeps what several parts read.

@@ -909,15 +909,3 @@ def _whole_pipeline(spark, sf_dir, name):
 def pipeline_blended(spark, sf_dir):
     """The pipeline of a kernel machine on embeddings blended with k-mer frequencies; the enriched clones are its answer."""
     return _whole_pipeline(spark, sf_dir, "8")
-
-
-@query
-def pipeline_stacked(spark, sf_dir):
-    """The pipeline that stacks k-mer, clone and embedding models under one meta-learner."""
-    return _whole_pipeline(spark, sf_dir, "7")
-
-
-@query
-def pipeline_standard(spark, sf_dir):
-    """The pipeline that searches all grids and selects among its models; its sequences are ranked by k-mer weights."""
-    return _whole_pipeline(spark, sf_dir, "standard").select("ID", "dataset", "scored")
