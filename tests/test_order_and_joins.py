@@ -100,3 +100,23 @@ def test_intermediate_tables_are_released(spark, monkeypatch):
     other = session.materialize(spark.range(5)).inputFiles()[0].removeprefix("file://")
     session.release(spark)
     assert not os.path.exists(other) and os.path.exists(path)
+
+
+def test_documents_come_by_id_in_small_parts_and_counts_need_no_other_shuffle(spark, tmp_path, monkeypatch):
+    from bagscope import session
+    from bagscope.operators.kmers import kmer_counts
+    from bagscope.plans import tables
+
+    rows = [(i, f"alpha beta w{i} alpha", "en") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(session, "SMALL_INPUT", 0)
+    monkeypatch.setattr(session, "PART_BYTES", 500)
+    assert tables.documents(spark, str(tmp_path)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    counts = kmer_counts(tables.sequences(spark, str(tmp_path)), [3, 4])
+    found = {(r.repertoire_id, r.kmer): r.cnt for r in counts.collect()}
+    assert found[7, "lph"] == 2 and found[7, "beta"] == 1
+    assert counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(session, "HOT_ROWS", 0)  # a key that fills a part: rows stay where they are
+    assert tables.documents(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    again = kmer_counts(tables.sequences(spark, str(tmp_path)), [3, 4])
+    assert {(r.repertoire_id, r.kmer): r.cnt for r in again.collect()} == found
