@@ -177,3 +177,16 @@ def test_fold_counts_by_subtraction_equal_counts_of_each_training_set(spark):
             assert abs(scores[r.repertoire_id].score - r.score) < 1e-6 and scores[r.repertoire_id].fold == fold
     exchanges = got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert exchanges == 1
+
+
+@pytest.mark.parametrize("name, scored", [("clone_holdout", []), ("clone_model_scores", [None])])
+def test_clone_queries_store_the_presence_of_labelled_documents_only(spark, monkeypatch, name, scored):
+    from bagscope.plans import registry, tables
+
+    asked, stored, plain, keep = [], [], tables.sequences, registry.materialize
+    monkeypatch.setattr(tables, "sequences", lambda spark, sf_dir, part=None: asked.append(part) or plain(spark, sf_dir, part))
+    monkeypatch.setattr(registry, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    listed = tables.labels(spark, "/root/testdata/sf0.001")
+    assert asked == ["train", *scored]
+    assert len(stored) == 1 and stored[0].join(listed, "repertoire_id", "left_anti").isEmpty()
