@@ -165,3 +165,25 @@ def test_pooling_with_copies_equals_pooling_of_all_rows(spark):
     for key, values in want.items():
         for name, g, w in zip(POOLINGS, got[key], values):
             assert np.allclose(g, w), (key, name)
+
+
+def test_vectors_of_common_texts_are_broadcast_and_the_others_joined(spark, tiny):
+    from bagscope.models.encoder import _with_vectors
+
+    counted = tiny.where("junction_aa is not null").groupBy("repertoire_id", F.col("junction_aa").alias("encoder_input")).agg(F.count(F.lit(1)).alias("copies"))
+    texts = counted.groupBy("encoder_input").agg(F.count(F.lit(1)).alias("__n"))
+    vectors = embed_distinct(tiny).join(texts, "encoder_input")
+
+    def rows(df):
+        return sorted((r.repertoire_id, r.encoder_input, r.copies, tuple(r["max"])) for r in df.collect())
+
+    whole = rows(_with_vectors(counted, vectors, ["repertoire_id"]))
+    split = _with_vectors(counted, vectors, ["repertoire_id"], rows=2)
+    assert rows(split) == whole and len(whole) == counted.count()
+    assert rows(_with_vectors(counted, vectors, ["repertoire_id"], rows=0)) == whole
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "RebalancePartitions [repertoire_id" in plan
+
+
+def test_only_wanted_poolings_are_kept(tiny):
+    assert embed_sequences(tiny, poolings=("max",)).columns == ["repertoire_id", "copies", "max"]
