@@ -180,13 +180,17 @@ def test_fold_counts_by_subtraction_equal_counts_of_each_training_set(spark):
 
 
 @pytest.mark.parametrize("name, scored", [("clone_holdout", []), ("clone_model_scores", [None])])
-def test_clone_queries_store_the_presence_of_labelled_documents_only(spark, monkeypatch, name, scored):
+def test_clone_queries_store_the_presence_of_labelled_documents_only(spark, tmp_path, monkeypatch, name, scored):
     from bagscope.plans import registry, tables
 
+    folder = str(tmp_path)
+    texts = [(i, f"alpha {'beta' if i % 2 else 'gamma'} w{i}", "en") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     asked, stored, plain, keep = [], [], tables.sequences, registry.materialize
     monkeypatch.setattr(tables, "sequences", lambda spark, sf_dir, part=None: asked.append(part) or plain(spark, sf_dir, part))
     monkeypatch.setattr(registry, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
-    registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-    listed = tables.labels(spark, "/root/testdata/sf0.001")
+    registry.QUERIES[name](spark, folder).collect()
+    listed = tables.labels(spark, folder)
     assert asked == ["train", *scored]
     assert len(stored) == 1 and stored[0].join(listed, "repertoire_id", "left_anti").isEmpty()
