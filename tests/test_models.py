@@ -74,6 +74,14 @@ def test_sparse_vectors_keep_empty_rows(spark):
         vc.sparse_vectors(ids, rows, 10**9)
 
 
+def test_sparse_vectors_are_built_without_python(spark):
+    rows = spark.createDataFrame([(1, 2, 5.0), (1, 0, 3.0)], "repertoire_id int, idx int, value double")
+    stored = vc.sparse_vectors(spark.createDataFrame([(1, "a"), (2, None)], "repertoire_id int, name string"), rows, 4)
+    assert stored.inputFiles()  # no Python step left to run
+    got = {r["repertoire_id"]: (r["name"], r["features"]) for r in stored.collect()}
+    assert got == {1: ("a", Vectors.sparse(4, [0, 2], [3.0, 5.0])), 2: (None, Vectors.sparse(4, [], []))}
+
+
 def test_stump_boost_matches_numpy(spark, data):
     x, y, df = data
     model = StumpBoost(rounds=4, learningRate=0.5).fit(df)
