@@ -10,7 +10,7 @@ from bagscope.models import vectors as vc
 from bagscope.models.boosting import StumpBoost
 from bagscope.models.encoder import embed_distinct, embed_sequences, hashed_residue_encoder
 from bagscope.models.estimators import FourierFeatures, InverseLogistic, PopulationScaler, population_moments
-from bagscope.models.zoo import NAMES, classifier, scaled
+from bagscope.models.zoo import NAMES, classifier, scaled, scaled_logistic
 from bagscope.operators import metrics as me
 from bagscope.session import materialize
 
@@ -82,6 +82,18 @@ def test_sparse_vectors_are_built_without_python(spark):
     assert got == {1: ("a", Vectors.sparse(4, [0, 2], [3.0, 5.0])), 2: (None, Vectors.sparse(4, [], []))}
 
 
+def test_search_gives_the_winners_scores(data):
+    _, y, df = data
+    best, table, oof = tr.search_c_scores(df, [0.001, 1.0, 0.5])
+    assert best == tr.search_c(df, [0.001, 1.0, 0.5])[0] and [r["C"] for r in table.collect()] == [0.001, 1.0, 0.5]
+    refitted = tr.out_of_fold(df, scaled_logistic(best).fit)
+    assert oof.columns == refitted.columns and oof.count() == len(y)
+    both = oof.join(refitted.withColumnRenamed("score", "other"), ["repertoire_id", "label", "fold"])
+    assert both.count() == len(y) and both.where("abs(score - other) > 1e-6").count() == 0
+    aucs = [r["auc"] for r in me.roc_auc(materialize(refitted), by=["fold"]).collect()]
+    assert max(r["mean_auc"] for r in table.collect()) == pytest.approx(np.mean(aucs))
+
+
 def test_stump_boost_matches_numpy(spark, data):
     x, y, df = data
     model = StumpBoost(rounds=4, learningRate=0.5).fit(df)
