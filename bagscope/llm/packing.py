@@ -159,7 +159,10 @@ class WordIds:
         return out
 
 
-_ENCODERS: dict[str, WordIds] = {}
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordIds:
+    """The encoder of this worker. Tasks call it by name: what they would carry along themselves, each would begin anew."""
+    return WordIds(path)
 
 
 def pieces(documents: DataFrame, path: str | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -182,13 +185,13 @@ def pieces(documents: DataFrame, path: str | None = None, settings: Settings = S
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = _ENCODERS.setdefault(path, WordIds(path))
+        words = encoder(path)
 
         def done(held):
             batch = pa.Table.from_batches(held).combine_chunks()
             numbers = batch.column("row").to_pylist()
             owner, out = [], []
-            for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
+            for i, ids in enumerate(words.encode(batch.column("text").to_pylist())):
                 ids += closing
                 for k in range(0, len(ids), width):
                     cut = ids[k : k + width]

@@ -126,6 +126,23 @@ def test_ids_are_those_of_the_tokenizer():
     assert encoder.encode([t.encode() for t in texts]) == encoder._ids(texts)
 
 
+def test_a_worker_keeps_its_encoder(spark):
+    documents = spark.range(8).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
+    for _ in range(6):  # more tasks than workers
+        assert packing.pieces(documents.repartition(32), None).count() == 8
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from bagscope.llm import packing as own
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([own.encoder.cache_info().hits])], names=["hits"])
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(kept, "hits bigint").agg({"hits": "max"}).first()[0] > 0
+
+
 def brute_least(lengths, capacity):
     """The least number of sequences by trying all assignments."""
     best = [len(lengths)]
