@@ -207,3 +207,43 @@ def test_vectors_of_common_texts_are_broadcast_and_the_others_joined(spark, tiny
 
 def test_only_wanted_poolings_are_kept(tiny):
     assert embed_sequences(tiny, poolings=("max",)).columns == ["repertoire_id", "copies", "max"]
+
+
+def test_kernel_features_are_made_in_the_scans(spark, monkeypatch):
+    """The stored blocks are as wide as the input, and machine and scores are those of a linear machine on stored features."""
+    from bagscope.models import batched, estimators
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 4))
+    y = ((x**2).sum(axis=1) + rng.normal(size=150) > 4).astype(int)
+    df = materialize(spark.createDataFrame([(i, int(t), Vectors.dense(v)) for i, (v, t) in enumerate(zip(x, y))], ["repertoire_id", "label", "features"]))
+    widths = []
+
+    def stored(rows, *names, original=batched.in_blocks):
+        widths.append(rows.agg(F.max(F.size("vector"))).first()[0])
+        return original(rows, *names)
+
+    monkeypatch.setattr(estimators, "in_blocks", stored)
+    model = estimators.KernelSVC(numFeatures=40, parts=3, maxIter=30).fit(df)
+    assert widths == [4]
+    curve = model.stages[0]
+    mapped = FourierFeatures(gamma=curve.getOrDefault(curve.gamma), numFeatures=40).transform(df).drop("features").withColumnRenamed("fourier", "features")
+    linear = estimators.CalibratedLinearSVC(parts=3, maxIter=30).fit(materialize(mapped))
+    assert curve.getOrDefault(curve.coefficients) == pytest.approx(linear.getOrDefault(linear.coefficients), abs=1e-6)
+    want, got = ([r.score for r in m.transform(d).orderBy("repertoire_id").collect()] for m, d in ((linear, mapped), (model, df)))
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_cosine_and_small_batches(spark):
+    from bagscope.models import batched, estimators
+
+    angles = np.append(np.random.default_rng(1).normal(size=500) * 50, [0.0, np.pi, -np.pi / 2, np.nan, np.inf])
+    assert np.allclose(estimators.cosine_of(angles.copy()), np.cos(np.append(angles[:-1], np.nan)), atol=1e-13, equal_nan=True)
+    table = spark.range(1000).coalesce(1).select(F.lit(0).alias("variant"), F.col("id").cast("int").alias("label"), F.array(F.col("id").cast("double")).alias("vector"))
+    table = materialize(table)
+    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "100")
+    try:
+        assert materialize(batched.in_blocks(table, ["label"])).count() == 1
+    finally:
+        spark.conf.set(name, was)
