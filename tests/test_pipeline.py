@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 
 import pytest
@@ -77,3 +78,57 @@ def test_holdout_report(spark, planted):
     sequences, labels, _ = planted
     report = pipeline.evaluate_clone_model(materialize(clone_presence(sequences)), labels).first()
     assert report["auc"] == 1.0 and report["n"] == 8 and report["n_clones"] == 1 and report["n_active"] == 1
+
+
+def test_families_are_fitted_side_by_side(planted, monkeypatch):
+    """Each family waits until the other has begun."""
+    sequences, labels, _ = planted
+    both = threading.Barrier(2, timeout=60)
+
+    def awaited(original):
+        def run(*args):
+            both.wait()
+            return original(*args)
+
+        return run
+
+    for name in ("fit_kmer_features", "fit_clone_model"):
+        monkeypatch.setattr(pipeline, name, awaited(getattr(pipeline, name)))
+    config = replace(STANDARD, families=("kmer", "clone"), c_grid=(1.0,), min_count=5, n_folds=2, combine="blend", blend=(0.5, 0.5))
+    assert pipeline.fit(sequences, labels, config).weights == {"kmer": 0.5, "clone": 0.5}
+
+
+def test_only_listed_repertoires_are_pooled(planted, monkeypatch):
+    sequences, labels, test = planted
+    pooled = []
+
+    def pool(vectors, *args, original=pipeline.pool_bags, **names):
+        pooled.append({r[0] for r in vectors.select("repertoire_id").distinct().collect()})
+        return original(vectors, *args, **names)
+
+    monkeypatch.setattr(pipeline, "pool_bags", pool)
+    embeddings = materialize(embed_sequences(sequences))
+    config = replace(CONFIGS["8"], top_variance=50)
+    fitted = pipeline.fit(sequences, labels, config, embeddings, {"SVM_RBF": dict(parts=2, maxIter=2, numFeatures=20)})
+    assert fitted.predict(sequences, test.select("repertoire_id"), embeddings, "t").count() == 8
+    assert pooled == [{r[0] for r in rows.select("repertoire_id").collect()} for rows in (labels, test)]
+
+
+def test_a_fold_of_the_blend_takes_its_vectors_once(planted, monkeypatch):
+    from bagscope.operators.folds import stratified_folds
+    from bagscope.operators.kmers import kmer_counts
+
+    sequences, labels, _ = planted
+    folds, calls = materialize(stratified_folds(labels, 2)), []
+
+    def vectors(self, *args, original=pipeline.KmerFeatures.vectors):
+        calls.append(args)
+        return original(self, *args)
+
+    monkeypatch.setattr(pipeline.KmerFeatures, "vectors", vectors)
+    config = replace(CONFIGS["8"], top_variance=50, n_folds=2)
+    pooled = pipeline.embedding_variants(embed_sequences(sequences), ("max_std",))["max_std"]
+    quick = {"SVM_RBF": dict(parts=2, maxIter=2, numFeatures=20)}
+    rows = pipeline.blend_benchmark(materialize(kmer_counts(sequences, [4])), pooled, folds, config, quick).collect()
+    assert {(r["fold"], r["model"]) for r in rows} == {(f, m) for f in (0, 1) for m in ("embedding", "kmer", "blend")}
+    assert len(calls) == 2 and all(0 <= r["auc"] <= 1 for r in rows)
