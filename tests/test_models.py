@@ -227,6 +227,7 @@ def test_kernel_features_are_made_in_the_scans(spark, monkeypatch):
     model = estimators.KernelSVC(numFeatures=40, parts=3, maxIter=30).fit(df)
     assert widths == [4]
     curve = model.stages[0]
+    assert "fourier" not in model.transform(df).columns  # nor are they made for whole batches when rows are scored
     mapped = FourierFeatures(gamma=curve.getOrDefault(curve.gamma), numFeatures=40).transform(df).drop("features").withColumnRenamed("fourier", "features")
     linear = estimators.CalibratedLinearSVC(parts=3, maxIter=30).fit(materialize(mapped))
     assert curve.getOrDefault(curve.coefficients) == pytest.approx(linear.getOrDefault(linear.coefficients), abs=1e-6)
